@@ -1,0 +1,357 @@
+"""Token ids as compressed binary files: an adaptive context-mixing range coder over independently reset blocks.
+
+A file holds the ids of a run of documents.  Its ids are cut into blocks of BLOCK ids.  Every block starts from the
+same fixed state, is coded on its own, and carries a crc32 of its ids and of its payload, so blocks decode alone and
+damage stays in one block.  Since blocks are independent, the coder steps through all blocks of a file at once: a
+numpy operation does one step of every block.
+
+The model of a block, all in integers, the same for coder and decoder:
+
+* order 2 (hash of the last two ids) and order 1 (the last id) each predict one id, with a small confidence;
+* the candidate is the order-2 prediction if there is one, else that of order 1.  Whether it comes true is one binary
+  decision, whose probability is a logistic mix of what order 2 (its confidence), order 1 (its confidence and whether
+  it agrees) and order 0 (how frequent the candidate's class of ids is here) say; the weights learn with each id;
+* an id that wasn't predicted is coded by order 0: ids are ranked by how often the file has them (the ranking is
+  written once per file), ranks fall in classes, a class is coded by its adaptive count in the block, and the place in
+  the class evenly.
+
+The decisions drive one range coder per block (32-bit range, 16-bit words, carries resolved at the end).
+"""
+
+from __future__ import annotations
+
+import json
+import struct
+import zlib
+
+import numpy as np
+
+MAGIC = b"TGIDS1\n"
+BLOCK = 4096
+#: Blocks that are stepped through together, at most.
+LANES = 4096
+H1, H2 = 10, 11
+_I = np.int64
+
+
+def _stretch() -> np.ndarray:
+    """ln(p / (1 - p)) of 12-bit probabilities, in 1/256, from the table of its inverse."""
+    out, pi = np.zeros(4096, _I), 0
+    for x in range(-2047, 2048):
+        v = int(_SQUASH[x + 2047])
+        out[pi : v + 1] = x
+        pi = max(pi, v + 1)
+    out[pi:] = 2047
+    return out
+
+
+def _squash() -> np.ndarray:
+    x = np.arange(-2047, 2048) / 256.0
+    return np.clip(np.round(4096 / (1 + np.exp(-x))), 1, 4095).astype(_I)
+
+
+_SQUASH = _squash()
+_STRETCH = _stretch()
+
+# Classes of ranks: 16 of one rank, then 4 to each doubling, up to 2^17 ranks.
+_LOW = list(range(16))
+_BITS = [0] * 16
+for _o in range(4, 17):
+    for _q in range(4):
+        _LOW.append((4 + _q) << (_o - 2))
+        _BITS.append(_o - 2)
+LOW, BITS = np.array(_LOW, _I), np.array(_BITS, _I)
+CLASSES = len(LOW)
+_CLASS_OF = np.searchsorted(LOW, np.arange(1 << 17), side="right") - 1
+REBUILD = 8  # steps between rebuilds of the cumulative counts
+INC, LIMIT = 24, 1 << 13
+
+
+class _Model:
+    """State of all lanes; flat arrays so that one index reaches a cell of a lane."""
+
+    def __init__(self, lanes: int):
+        n = self.n = lanes
+        self.lane = np.arange(n, dtype=_I)
+        self.l1, self.l2 = self.lane << H1, self.lane << H2
+        self.id1, self.id2 = np.full(n << H1, -1, np.int32), np.full(n << H2, -1, np.int32)
+        self.c1, self.c2 = np.zeros(n << H1, np.int8), np.zeros(n << H2, np.int8)
+        self.p2 = np.full(n * 8, 2048, np.int32)
+        self.p1 = np.full(n * 16, 1024, np.int32)
+        self.p0 = np.full(n * (CLASSES + 1), 512, np.int32)
+        self.w = [np.full(n, 22000, _I) for _ in range(3)]
+        self.count = np.full((CLASSES, n), 4, np.int32)
+        self.x1, self.x2 = np.zeros(n, _I), np.zeros(n, _I)
+        self.step = 0
+        self.rebuild()
+
+    def shrink(self, n: int) -> None:
+        """The last lanes end here; tables are by lane, so a prefix of lanes just stays."""
+        self.n = n
+        for k in ("lane", "l1", "l2", "x1", "x2"):
+            setattr(self, k, getattr(self, k)[:n])
+        self.w = [w[:n] for w in self.w]
+        self.count = np.ascontiguousarray(self.count[:, :n])
+        self.rebuild()
+
+    def rebuild(self) -> None:
+        self.cum = np.zeros((CLASSES + 1, self.n), np.int32)
+        np.cumsum(self.count, axis=0, out=self.cum[1:])
+        if (self.cum[-1] > LIMIT).any():
+            self.count[:, self.cum[-1] > LIMIT] >>= 1
+            self.count += self.count == 0
+            np.cumsum(self.count, axis=0, out=self.cum[1:])
+        self.total = self.cum[-1].astype(_I)
+        self.flat = self.cum.reshape(-1)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The candidate of each lane (-1: none) and the 12-bit probability that it comes true."""
+        self.a1 = self.l1 + ((self.x1 * 40503 >> 4) & ((1 << H1) - 1))
+        self.a2 = self.l2 + ((self.x1 * 0x9E3779B1 + self.x2 * 0x85EBCA6B >> 15) & ((1 << H2) - 1))
+        q1, q2 = self.id1[self.a1], self.id2[self.a2]
+        cand = np.where(q2 >= 0, q2, q1)
+        k2 = self.c2[self.a2].astype(_I)
+        k1 = self.c1[self.a1].astype(_I) + ((q1 == cand) << 3)
+        k0 = np.where(cand >= 0, _CLASS_OF[cand], CLASSES)
+        self.s2, self.s1, self.s0 = self.lane * 8 + k2, self.lane * 16 + k1, self.lane * (CLASSES + 1) + k0
+        self.t2, self.t1, self.t0 = _STRETCH[self.p2[self.s2]], _STRETCH[self.p1[self.s1]], _STRETCH[self.p0[self.s0]]
+        dot = (self.w[0] * self.t2 + self.w[1] * self.t1 + self.w[2] * self.t0) >> 16
+        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        self.q1, self.q2 = q1, q2
+        return cand, self.p
+
+    def update(self, hit: np.ndarray, x: np.ndarray, rank_class: np.ndarray, missed: np.ndarray) -> None:
+        """x: the ids (as ranks); missed: lanes whose id was coded by order 0, with the classes rank_class."""
+        goal = hit.astype(_I) << 12
+        err = (goal - self.p) * 6
+        for w, t in zip(self.w, (self.t2, self.t1, self.t0)):
+            w += (t * err + (1 << 13)) >> 14
+        goal = np.clip(goal, 16, 4080)
+        for p, s in ((self.p2, self.s2), (self.p1, self.s1), (self.p0, self.s0)):
+            old = p[s]
+            p[s] = old + ((goal - old) >> 5)
+        for ids, conf, at, q, top in ((self.id2, self.c2, self.a2, self.q2, 7), (self.id1, self.c1, self.a1, self.q1, 7)):
+            same = q == x
+            c = conf[at]
+            conf[at] = np.where(same, np.minimum(c + 1, top), np.maximum(c - 2, 0))
+            ids[at] = np.where(same | (c > 1), q, x)
+        if len(missed):
+            self.count[rank_class, missed] += INC
+        self.x2, self.x1 = self.x1, x
+        self.step += 1
+        if self.step % REBUILD == 0:
+            self.rebuild()
+
+
+def _encode_lanes(ranks: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ranks: [lane, step]; lens descend.  Returns [word, lane] 16-bit words and their number by lane."""
+    n, steps = ranks.shape
+    by_step = np.ascontiguousarray(ranks.T).astype(_I)
+    m = _Model(n)
+    low, rng, pos = np.zeros(n, _I), np.full(n, 0xFFFFFFFF, _I), np.zeros(n, _I)
+    out = np.zeros((steps + 64, n), np.uint32)
+
+    def put(on: np.ndarray, where: np.ndarray | None) -> None:
+        """Lanes (of where) whose low overflowed carry on; those whose range got small write a word."""
+        nonlocal out
+        ls = low if where is None else low[where]
+        over = np.flatnonzero(ls >> 32)
+        if len(over):
+            k = over if where is None else where[over]
+            out[pos[k] - 1, k] += 1
+            low[k] &= 0xFFFFFFFF
+        rs = rng[: m.n] if where is None else rng[where]
+        small = np.flatnonzero(rs < 0x10000)
+        if len(small):
+            k = small if where is None else where[small]
+            if int(pos[k].max()) + 8 >= len(out):
+                out = np.concatenate((out, np.zeros_like(out)))
+            out[pos[k], k] = low[k] >> 16
+            pos[k] += 1
+            low[k] = (low[k] & 0xFFFF) << 16
+            rng[k] <<= 16
+
+    for t in range(steps):
+        if t >= lens[m.n - 1]:
+            m.shrink(int(np.searchsorted(-lens, -t, side="left")))
+        k = m.n
+        x = by_step[t, :k]
+        cand, p = m.predict()
+        hit = cand == x
+        bound = (rng[:k] >> 12) * p
+        low[:k] += np.where(hit, 0, bound)
+        rng[:k] = np.where(hit, bound, rng[:k] - bound)
+        put(hit, None)
+        missed = np.flatnonzero(~hit)
+        c = _CLASS_OF[x[missed]]
+        if len(missed):
+            r = rng[missed] // m.total[missed]
+            at = c * k + missed
+            lo = m.flat[at]
+            low[missed] += r * lo
+            rng[missed] = r * (m.flat[at + k] - lo)
+            put(hit, missed)
+            bits = BITS[c]
+            wide = np.flatnonzero(bits)
+            if len(wide):
+                ml, b = missed[wide], bits[wide]
+                r = rng[ml] >> b
+                low[ml] += r * (x[ml] - LOW[c[wide]])
+                rng[ml] = r
+                put(hit, ml)
+                while (again := ml[rng[ml] < 0x10000]).size:
+                    put(hit, again)
+        m.update(hit, x, c, missed)
+    every = np.arange(n)
+    for _ in range(2):  # what is left in low
+        over = np.flatnonzero(low >> 32)
+        out[pos[over] - 1, over] += 1
+        low &= 0xFFFFFFFF
+        if int(pos.max()) + 2 >= len(out):
+            out = np.concatenate((out, np.zeros_like(out)))
+        out[pos, every] = low >> 16
+        pos += 1
+        low = (low & 0xFFFF) << 16
+    carry = np.zeros(n, np.uint32)
+    for i in range(int(pos.max()) - 1, -1, -1):
+        v = out[i] + carry
+        carry = v >> 16
+        out[i] = v & 0xFFFF
+    return out, pos
+
+
+def _decode_lanes(words: np.ndarray, lens: np.ndarray, steps: int) -> np.ndarray:
+    """words: [word, lane], with two rows of zeros to spare; lens descend.  Returns ranks, [step, lane]."""
+    n = len(lens)
+    m = _Model(n)
+    code = (words[0].astype(_I) << 16) | words[1]
+    rng, pos = np.full(n, 0xFFFFFFFF, _I), np.full(n, 2, _I)
+    flat, result = words.reshape(-1), np.zeros((steps, n), np.int32)
+    last = len(words) - 1
+
+    def take(where: np.ndarray | None) -> None:
+        rs = rng[: m.n] if where is None else rng[where]
+        small = np.flatnonzero(rs < 0x10000)
+        if len(small):
+            k = small if where is None else where[small]
+            code[k] = (code[k] << 16) | flat[np.minimum(pos[k], last) * n + k]
+            pos[k] += 1
+            rng[k] <<= 16
+
+    for t in range(steps):
+        if t >= lens[m.n - 1]:
+            m.shrink(int(np.searchsorted(-lens, -t, side="left")))
+        k = m.n
+        cand, p = m.predict()
+        bound = (rng[:k] >> 12) * p
+        hit = code[:k] < bound
+        code[:k] -= np.where(hit, 0, bound)
+        rng[:k] = np.where(hit, bound, rng[:k] - bound)
+        take(None)
+        x = cand.astype(_I)
+        missed = np.flatnonzero(~hit)
+        c = missed
+        if len(missed):
+            r = rng[missed] // m.total[missed]
+            v = np.minimum(code[missed] // r, m.total[missed] - 1)
+            c = np.zeros(len(missed), _I)
+            for half in (64, 32, 16, 8, 4, 2, 1):
+                up = c + half
+                ok = up < CLASSES
+                ok &= m.flat[np.where(ok, up, 0) * k + missed] <= v
+                c = np.where(ok, up, c)
+            at = c * k + missed
+            lo = m.flat[at]
+            code[missed] -= r * lo
+            rng[missed] = r * (m.flat[at + k] - lo)
+            take(missed)
+            x[missed] = LOW[c]
+            bits = BITS[c]
+            wide = np.flatnonzero(bits)
+            if len(wide):
+                ml, b = missed[wide], bits[wide]
+                r = rng[ml] >> b
+                d = np.minimum(code[ml] // np.maximum(r, 1), (1 << b) - 1)
+                x[ml] += d
+                code[ml] -= r * d
+                rng[ml] = r
+                take(ml)
+                while (again := ml[rng[ml] < 0x10000]).size:
+                    take(again)
+        result[t, :k] = x
+        m.update(hit, x, c, missed)
+    return result
+
+
+def _checked(text: str, ok: bool) -> None:
+    if not ok:
+        raise ValueError(f"token file: {text}")
+
+
+def encode_file(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
+    """The file of these documents' ids.  doc_ids: 64-bit integers or None; docs: their ids, uint32 below 2^17."""
+    known = np.array([i is not None for i in doc_ids], np.uint8)
+    doc_ids = np.array([i or 0 for i in doc_ids], "<i8")
+    sizes = np.array([len(d) for d in docs], np.int64)
+    ids = np.concatenate([*docs, np.empty(0, np.uint32)]).astype(np.uint32)
+    if len(ids) and int(ids.max()) >= 1 << 17:
+        raise ValueError("ids of 17 bits at most")
+    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    used = np.flatnonzero(counts)
+    alphabet = used[np.argsort(-counts[used], kind="stable")].astype("<u4")
+    rank = np.zeros(len(counts), np.int32)
+    rank[alphabet] = np.arange(len(alphabet))
+    ranks = rank[ids]
+    table, payloads = [], []
+    for at in range(0, len(ids), BLOCK * LANES):
+        part = ranks[at : at + BLOCK * LANES]
+        lens = np.diff(np.append(np.arange(0, len(part), BLOCK), len(part)))
+        lanes = np.zeros((len(lens), BLOCK if len(lens) > 1 else len(part)), np.int32)
+        lanes.reshape(-1)[: len(part)] = part
+        words, used_words = _encode_lanes(lanes, lens)
+        words = words.astype("<u2")
+        for j, (n, w) in enumerate(zip(lens, used_words)):
+            payload = words[:w, j].tobytes()
+            here = ids[at + j * BLOCK : at + j * BLOCK + n]
+            table.append((int(n), len(payload), zlib.crc32(here.astype("<u4").tobytes()), zlib.crc32(payload)))
+            payloads.append(payload)
+    head = {"docs": len(docs), "tokens": int(sizes.sum()), "alphabet": len(alphabet), "blocks": len(table)}
+    meta = zlib.compress(known.tobytes() + doc_ids.tobytes() + sizes.astype("<i8").tobytes() + alphabet.tobytes() + np.array(table, "<u4").tobytes(), 1)
+    head = json.dumps(head | {"meta": len(meta), "meta_crc32": zlib.crc32(meta)}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, meta, *payloads])
+
+
+def decode_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, their numbers of ids, and all ids in order.  Raises ValueError where a checksum doesn't hold."""
+    _checked("not a token file", data[: len(MAGIC)] == MAGIC)
+    at = len(MAGIC) + 4
+    size = struct.unpack("<I", data[at - 4 : at])[0]
+    head = json.loads(data[at : at + size])
+    at += size
+    meta = data[at : at + head["meta"]]
+    at += head["meta"]
+    _checked("header damaged", zlib.crc32(meta) == head["meta_crc32"])
+    meta = zlib.decompress(meta)
+    n, a = head["docs"], head["alphabet"] * 4
+    known, meta = np.frombuffer(meta[:n], bool), meta[n:]
+    n *= 8
+    doc_ids, sizes = np.frombuffer(meta[:n], "<i8"), np.frombuffer(meta[n : 2 * n], "<i8")
+    alphabet = np.frombuffer(meta[2 * n : 2 * n + a], "<u4")
+    table = np.frombuffer(meta[2 * n + a :], "<u4").reshape(-1, 4)
+    out = np.zeros(head["tokens"], np.uint32)
+    done = 0
+    for w in range(0, len(table), LANES):
+        part = table[w : w + LANES].astype(np.int64)
+        words = np.zeros((int(part[:, 1].max()) // 2 + 2, len(part)), "<u2")
+        for j, (_, size, _, crc) in enumerate(part):
+            payload = data[at : at + size]
+            at += int(size)
+            _checked(f"block {w + j} damaged", len(payload) == size and zlib.crc32(payload) == crc)
+            words[: size // 2, j] = np.frombuffer(payload, "<u2")
+        got = _decode_lanes(words.astype(np.uint32), part[:, 0], int(part[0, 0]))
+        for j, (size, _, crc, _) in enumerate(part):
+            here = alphabet[np.clip(got[:size, j], 0, len(alphabet) - 1)].astype("<u4")
+            _checked(f"block {w + j} decodes to other ids", zlib.crc32(here.tobytes()) == crc)
+            out[done : done + size] = here
+            done += int(size)
+    return [int(i) if k else None for i, k in zip(doc_ids, known)], sizes, out
