@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textgraph.llm.common import table
 from textgraph.llm.packing import packing_digest
+from textgraph.llm.spann import nearest
 from textgraph.llm.token_files import token_ids_digest
+from textgraph.llm.va_topk import exact_top_k
 from textgraph.llm.warc import warc_digest
 
 
@@ -23,6 +26,13 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids_digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 256).cast("double"))
+    finite = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(1.0))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.when(~F.exists(finite, lambda x: x.isNull()), whole).alias("embedding"))
+    return exact_top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -31,8 +41,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(spark, table(spark, sf_dir, "pages"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op4_packing, op5_warc)}
+    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op4_packing, op5_warc, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
