@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgraph.llm.common import table
+from textgraph.llm.near_dedup import near_duplicates
 from textgraph.llm.packing import packing_digest
 from textgraph.llm.spann import nearest
 from textgraph.llm.token_files import token_ids_digest
@@ -41,12 +42,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(spark, table(spark, sf_dir, "pages"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op4_packing, op5_warc, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op4_packing, op5_warc, op8_near_duplicates, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
