@@ -12,6 +12,7 @@ from textgraph.llm.near_dedup import near_duplicates
 from textgraph.llm.packing import packing_digest
 from textgraph.llm.spann import nearest
 from textgraph.llm.token_files import token_ids_digest
+from textgraph.llm.toxicity import toxicity_query
 from textgraph.llm.va_topk import exact_top_k
 from textgraph.llm.warc import warc_digest
 
@@ -42,6 +43,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(spark, table(spark, sf_dir, "pages"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
@@ -51,7 +56,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op4_packing, op5_warc, op8_near_duplicates, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op4_packing, op5_warc, op7_toxicity, op8_near_duplicates, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
