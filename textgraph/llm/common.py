@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of an Arrow batch handed to Python, so that long texts don't make large batches.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 4096
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 2048
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -86,17 +86,26 @@ def powers(n: int) -> np.ndarray:
     return _POW[0]
 
 
+#: Bytes that are hashed at a time.
+_CHUNK = 1 << 20
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]]; spans ascend, don't overlap and aren't empty."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
+    """64-bit hashes of data[starts[i]:ends[i]]; spans aren't empty."""
+    out = np.empty(len(starts), np.uint64)
     lens = ends - starts
-    total = int(lens.sum())
-    first = np.cumsum(lens) - lens
-    inside = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
-    take = inside + np.repeat(starts, lens)
-    terms = (data[take].astype(np.uint64) + np.uint64(1)) * powers(int(lens.max()))[inside]
-    return mix64(np.add.reduceat(terms, first) + lens.astype(np.uint64) * _M2)
+    upto = np.cumsum(lens)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _CHUNK, side="right")))
+        n = lens[at:stop]
+        first = np.cumsum(n) - n
+        inside = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        terms = data[inside + np.repeat(starts[at:stop], n)].astype(np.uint64) + np.uint64(1)
+        terms *= powers(int(n.max()))[inside]
+        out[at:stop] = mix64(np.add.reduceat(terms, first) + n.astype(np.uint64) * _M2)
+        at = stop
+    return out
 
 
 class Words:
