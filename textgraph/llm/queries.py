@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgraph.llm.common import table
+from textgraph.llm.line_dedup import line_dedup_digest
 from textgraph.llm.near_dedup import near_duplicates
 from textgraph.llm.packing import packing_digest
 from textgraph.llm.spann import nearest
@@ -35,6 +36,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -56,7 +61,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op4_packing, op5_warc, op7_toxicity, op8_near_duplicates, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op3_line_dedup, op4_packing, op5_warc, op7_toxicity, op8_near_duplicates, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
