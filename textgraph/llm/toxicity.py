@@ -64,12 +64,46 @@ def build_trie(terms: list[str], openings: list[str]) -> dict:
     return root
 
 
-def match(word: str, trie: dict) -> tuple[str, int] | None:
-    """The nearest entry of the trie and its distance: an opening of the word (0), a term (0), or a misspelled term.
+def _walk(word: str, trie: dict) -> Iterator[tuple[int, str]]:
+    """Terms within the allowed edits that have the word's first two letters, and their distances.
 
     The automaton of the word has a bit for each of its positions and a set of bits for each number of edits; a
     character of the trie moves all of them at once, and a branch without bits is left.
     """
+    node = trie.get(word[0], {}).get(word[1])
+    if node is None:
+        return
+    n = len(word)
+    end, places = 1 << n, {}
+    for i, ch in enumerate(word):
+        places[ch] = places.get(ch, 0) | 1 << i
+    reach = end + end - 1
+    two = n >= TWO_EDITS - 2
+    stack = [(node, 4, 12, 28)]
+    while stack:
+        node, r0, r1, r2 = stack.pop()
+        for ch, below in node.items():
+            if ch == "":
+                continue
+            m = places.get(ch, 0)
+            a0 = (r0 & m) << 1
+            a1 = (r1 & m) << 1 | r0 | r0 << 1 | a0 << 1
+            a2 = (r2 & m) << 1 | r1 | r1 << 1 | a1 << 1 if two else 0
+            if "" in below and not below[""][1] and (a1 | a2) & end:
+                term = below[""][0]
+                d = 1 if a1 & end else 2
+                if d <= edits_allowed(term):
+                    yield d, term
+            if (a1 | a2) & reach:
+                stack.append((below, a0, a1, a2))
+
+
+def match(word: str, trie: dict, reverse: dict) -> tuple[str, int] | None:
+    """The nearest entry and its distance: an opening of the word (0), a term (0), or a misspelled term.
+
+    reverse: the trie of the reversed terms.  One edit leaves the first two or the last two letters of a term as they
+    are, so walks from both ends find all terms one edit away; a match of two edits must keep them as well.
+    """
     node = trie
     for ch in word:
         node = node.get(ch)
@@ -80,50 +114,14 @@ def match(word: str, trie: dict) -> tuple[str, int] | None:
     else:
         if "" in node:
             return node[""][0], 0
-    n = len(word)
-    if n < ONE_EDIT - 1 or n > 64:
+    if not ONE_EDIT - 1 <= len(word) <= 64:
         return None
-    places: dict[str, int] = {}
-    for i, ch in enumerate(word):
-        places[ch] = places.get(ch, 0) | 1 << i
-    end = 1 << n
-    best: tuple[int, str] | None = None
-    if n < TWO_EDITS - 2:
-        stack = [(trie, 1, 3)]
-        while stack:
-            node, r0, r1 = stack.pop()
-            for ch, below in node.items():
-                if ch == "":
-                    continue
-                m = places.get(ch, 0)
-                a0 = (r0 & m) << 1
-                a1 = (r1 & m) << 1 | r0 | r0 << 1 | a0 << 1
-                if "" in below and a1 & end and not below[""][1]:
-                    term = below[""][0]
-                    if edits_allowed(term) and (best is None or term < best[1]):
-                        best = (1, term)
-                if a0 or a1 & (end + end - 1):
-                    stack.append((below, a0, a1))
-    else:
-        stack = [(trie, 1, 3, 7)]
-        head, tail = word[:2], word[-2:]
-        while stack:
-            node, r0, r1, r2 = stack.pop()
-            for ch, below in node.items():
-                if ch == "":
-                    continue
-                m = places.get(ch, 0)
-                a0 = (r0 & m) << 1
-                a1 = (r1 & m) << 1 | r0 | r0 << 1 | a0 << 1
-                a2 = (r2 & m) << 1 | r1 | r1 << 1 | a1 << 1
-                if "" in below and a2 & end and not below[""][1]:
-                    term = below[""][0]
-                    d = 1 if a1 & end else 2
-                    if d <= edits_allowed(term) and (d == 1 or head == term[:2] or tail == term[-2:]) and (best is None or (d, term) < best):
-                        best = (d, term)
-                if a2 & (end + end - 1):
-                    stack.append((below, a0, a1, a2))
-    return None if best is None else (best[1], best[0])
+    found = list(_walk(word, trie))
+    found += [(d, term[::-1]) for d, term in _walk(word[::-1], reverse)]
+    if not found:
+        return None
+    d, term = min(found)
+    return term, d
 
 
 @dataclass
@@ -146,6 +144,7 @@ class Lexicon:
 
     def start(self) -> None:
         self.trie = build_trie(self.terms, self.openings)
+        self.reverse = build_trie([w[::-1] for w in self.terms], [])
         self.hits: dict[int, tuple[str, int]] = {}
         self.hit_hashes = np.empty(0, np.uint64)
         self.seen = np.empty(0, np.uint64)
@@ -179,7 +178,7 @@ class Lexicon:
         able = two & (self.first[head] | (self.last[tail] & (size <= self.longest)))
         for i in np.flatnonzero(able):
             word = d[s[i] : e[i]].tobytes().decode("utf-8", "replace")
-            found = match(word, self.trie)
+            found = match(word, self.trie, self.reverse)
             if found and not (found[1] and word in self.clean):
                 self.hits[int(fresh[i])] = found
         self.hit_hashes = np.sort(np.fromiter(self.hits, np.uint64, len(self.hits)))
@@ -295,9 +294,9 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str) -> Lexicon:
     shared = spark.sparkContext.broadcast(lexicon)
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value.trie
+        trie, reverse = shared.value.trie, shared.value.reverse
         for batch in batches:
-            keep = [bool((m := match(w, trie)) and m[1]) for w in batch.column(0).to_pylist()]
+            keep = [bool((m := match(w, trie, reverse)) and m[1]) for w in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     # words of clean documents that are a misspelling of a term by their letters only
