@@ -11,6 +11,7 @@ from textgraph.llm.common import table
 from textgraph.llm.line_dedup import line_dedup_digest
 from textgraph.llm.near_dedup import near_duplicates
 from textgraph.llm.packing import packing_digest
+from textgraph.llm.sentence_pieces import pieces_digest
 from textgraph.llm.spann import nearest
 from textgraph.llm.token_files import token_ids_digest
 from textgraph.llm.toxicity import toxicity_query
@@ -48,6 +49,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(spark, table(spark, sf_dir, "pages"))
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,7 +66,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op3_line_dedup, op4_packing, op5_warc, op7_toxicity, op8_near_duplicates, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op3_line_dedup, op4_packing, op5_warc, op6_sentence_pieces, op7_toxicity, op8_near_duplicates, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
