@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textgraph.llm.common import table
 from textgraph.llm.line_dedup import line_dedup_digest
+from textgraph.llm.maxent_lm import lm_query
 from textgraph.llm.near_dedup import near_duplicates
 from textgraph.llm.packing import packing_digest
 from textgraph.llm.sentence_pieces import pieces_digest
@@ -61,12 +62,16 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_query(table(spark, sf_dir, "documents"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op3_line_dedup, op4_packing, op5_warc, op6_sentence_pieces, op7_toxicity, op8_near_duplicates, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_ids, op2_exact_top_k, op3_line_dedup, op4_packing, op5_warc, op6_sentence_pieces, op7_toxicity, op8_near_duplicates, op9_language_model, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
