@@ -21,6 +21,8 @@ from textgraph.llm.components import components
 SHINGLE = 5
 #: Coordinates (a byte each is kept) and bands of them: a pair at similarity 0.85 misses every band once in 5e5 times.
 COORDINATES, BANDS, ROWS = 256, 28, 6
+#: Coordinates by which the last round, which verifies all that is left, chooses pairs; only rows of shared buckets have them.
+WIDE = 1536
 UNIVERSE = 1 << 21
 #: Rows of a bucket that meet in one task; larger buckets are compared block by block.
 BUCKET_ROWS = 4096
@@ -29,12 +31,12 @@ PARTNERS = (1, 12, None)
 _TABLE: list[np.ndarray] = []
 
 
-def _runs() -> np.ndarray:
-    """Row v: pi[v], pi[v + 1] ... pi[v + K - 1], indices modulo the universe; a view of one table."""
+def _runs(width: int) -> np.ndarray:
+    """Row v: pi[v], pi[v + 1] ... pi[v + width - 1], indices modulo the universe; a view of one table."""
     if not _TABLE:
         pi = np.random.default_rng(20240607).permutation(UNIVERSE).astype(np.uint32)
-        _TABLE.append(np.lib.stride_tricks.sliding_window_view(np.concatenate((pi, pi[: COORDINATES - 1])), COORDINATES))
-    return _TABLE[0]
+        _TABLE.append(np.concatenate((pi, pi[: WIDE - 1])))
+    return np.lib.stride_tricks.sliding_window_view(_TABLE[0], width)
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -60,11 +62,11 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """[set, COORDINATES] low bytes of the circulant MinHash coordinates; zeros for empty sets."""
-    runs = _runs()
-    out = np.zeros((len(sets), COORDINATES), np.uint8)
-    step = 2048
+def sketches(sets: list[np.ndarray], width: int = COORDINATES) -> np.ndarray:
+    """[set, width] bytes of the first circulant MinHash coordinates; zeros for empty sets."""
+    runs = _runs(width)
+    out = np.zeros((len(sets), width), np.uint8)
+    step = (1 << 19) // width
     for i, s in enumerate(sets):
         if len(s):
             at = (mix64(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(UNIVERSE - 1)).astype(np.int64)
@@ -84,10 +86,10 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return mix64((key << np.uint64(8)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def least_match(similarity: float) -> int:
-    """Equal coordinates below which a pair isn't verified: 5.5 standard deviations under those of ``similarity``."""
+def least_match(similarity: float, width: int) -> int:
+    """Equal coordinates below which a pair isn't verified: 5 standard deviations under those of ``similarity``."""
     p = similarity + (1 - similarity) / 256
-    return int(COORDINATES * (p - 5.5 * (p * (1 - p) / COORDINATES) ** 0.5))
+    return int(width * (p - 5 * (p * (1 - p) / width) ** 0.5))
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,14 +126,15 @@ def _band_rows(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sketch").mapInArrow(run, "band long, rep long")
 
 
-def _bucket_pairs(least: int, partners: int | None):
+def _bucket_pairs(least: int, width: int, partners: int | None):
     """Pairs of rows of a bucket, from different components, that agree in ``least`` coordinates and more."""
 
     def of(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sk: np.ndarray, cross: bool, key: int) -> tuple[np.ndarray, np.ndarray]:
         a_all, b_all = [], []
-        for at in range(0, len(rep), 64):
-            upto = min(at + 64, len(rep))
-            match = (sk[at:upto, None, :] == sk[None, :, :]).sum(axis=2, dtype=np.int32)
+        step = max(1, (4 << 20) // (width * len(rep)))
+        for at in range(0, len(rep), step):
+            upto = min(at + step, len(rep))
+            match = np.count_nonzero(sk[at:upto, None, :] == sk[None, :, :], axis=2)
             ok = (match >= least) & (comp[at:upto, None] != comp[None, :])
             if cross:
                 ok &= side[at:upto, None] != side[None, :]
@@ -145,13 +148,12 @@ def _bucket_pairs(least: int, partners: int | None):
             a_all.append(a + at)
             b_all.append(b)
         a, b = np.concatenate(a_all), np.concatenate(b_all)
-        if partners is None:  # a pair of several buckets comes from the first of them
+        if partners is None:
             keep = a < b
             a, b = a[keep], b[keep]
-            if len(a):
-                first = _first_shared(sk[a], sk[b])
-                mine = band_keys(sk[a])[np.arange(len(a)), first] == key
-                a, b = a[mine], b[mine]
+        if len(a):  # a pair that shares several buckets comes from the first of them
+            mine = band_keys(sk[a])[np.arange(len(a)), _first_shared(sk[a], sk[b])] == key
+            a, b = a[mine], b[mine]
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,7 @@ def _bucket_pairs(least: int, partners: int | None):
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
-            cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, COORDINATES))
+            cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, width))
             held = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
             key, i, j = held[:3]
             change = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
@@ -199,16 +201,17 @@ def _bucket_pairs(least: int, partners: int | None):
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep and set of the wanted classes (rep, doc, digest), from the texts of their first documents."""
+    """rep, set and wide sketch of the wanted classes (rep, doc, digest), from the texts of their first documents."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(batch.column(2).to_pylist())]
+            sets = shingle_sets(batch.column(2).to_pylist())
+            found, wide = [s.tobytes() for s in sets], sketches(sets, WIDE)
             right = [hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(found, batch.column(1).to_pylist())]  # ids may repeat
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "set"]).filter(pa.array(right, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([w.tobytes() for w in wide], pa.binary())], names=["rep", "set", "wide"]).filter(pa.array(right, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc").select("rep", "digest", "text")
-    return texts.mapInArrow(sets, "rep long, set binary").dropDuplicates(["rep"])
+    return texts.mapInArrow(run, "rep long, set binary, wide binary").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,6 +230,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * inter >= percent * (len(p) + len(q) - inter))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
+    sets = sets.select("rep", "set")
     both = pairs.join(sets.withColumnsRenamed({"rep": "x", "set": "a"}), "x").join(sets.withColumnsRenamed({"rep": "y", "set": "b"}), "y")
     return both.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long")
 
@@ -256,11 +260,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     in_bucket = members.select(F.col("rep").alias("node")).distinct()
     compared = saved(nodes.join(in_bucket, "node", "left_semi"), f"{folder}/compared")
     sketch_of = compared.select(F.col("node").alias("rep"), "sketch")
-    sets = saved(_sets_of(docs, compared.select(F.col("node").alias("rep"), F.col("rep").alias("doc"), "digest")), f"{folder}/sets")
-    least = least_match(percent / 100)
+    sets = saved(_sets_of(docs, compared.select(F.col("node").alias("rep"), F.col("rep").alias("doc"), "digest").filter(F.col("doc") >= -(1 << 62))), f"{folder}/sets")
     links = comp = tested = None
     for r, partners in enumerate(PARTNERS):
-        rows_now = members
+        rows_now, width = members, COORDINATES if partners else WIDE
         if comp is not None:
             rows_now = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
             mixed = rows_now.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("band")
@@ -270,10 +273,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         blocks = F.ceil(F.col("rows") / (BUCKET_ROWS // 2)).cast("int")
         own = F.when(F.col("rows") > BUCKET_ROWS, F.pmod(F.xxhash64("rep", F.lit(1)), blocks)).otherwise(F.lit(0)).cast("int")
         others = F.when(F.col("rows") > BUCKET_ROWS, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))
-        dealt = rows_now.withColumn("side", own).withColumn("other", F.explode(others)).join(sketch_of, "rep")
+        dealt = rows_now.withColumn("side", own).withColumn("other", F.explode(others)).join(sketch_of if partners else sets.select("rep", F.col("wide").alias("sketch")), "rep")
         dealt = dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "comp", "sketch")
         dealt = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-        pairs = dealt.mapInArrow(_bucket_pairs(least, partners), "x long, y long").distinct()
+        pairs = dealt.mapInArrow(_bucket_pairs(least_match(percent / 100, width), width, partners), "x long, y long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = saved(pairs, f"{folder}/pairs{r}")
