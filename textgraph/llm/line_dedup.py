@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textgraph.llm.common import Words, arrow_limits, mix64, powers, saved, shuffle_parts, work_dir
+from textgraph.llm.common import Words, arrow_limits, mix64, powers, remove, saved, shuffle_parts, work_dir
 
 #: Words of a block that is deleted, at least; words of a line that may name a pair, at least.
 MIN_WORDS, LINE_WORDS = 50, 4
@@ -205,9 +205,10 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     arrow_limits(spark)
     folder = work_dir(spark, "line-dedup")
-    pairs = saved(document_pairs(docs, min_words, folder), f"{folder}/pairs")
+    pairs = saved(document_pairs(docs, min_words, folder), f"{folder}/pairs").filter("first < doc")
+    remove(spark, f"{folder}/lines")
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    earlier = pairs.join(rows.withColumnsRenamed({"doc_id": "first", "text": "first_text"}), "first")
+    earlier = saved(pairs.join(rows.withColumnsRenamed({"doc_id": "first", "text": "first_text"}), "first"), f"{folder}/earlier").filter("first < doc")
     both = earlier.join(rows.withColumnRenamed("doc_id", "doc"), "doc").withColumn("of", F.xxhash64("text"))
     both = both.select("doc", "of", "first", "text", "first_text").repartition(shuffle_parts(spark), "doc", "of").sortWithinPartitions("doc", "of", "first")
 
