@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textgraph.llm import sql
 from textgraph.llm.common import table
 from textgraph.llm.line_dedup import line_dedup_digest
 from textgraph.llm.maxent_lm import lm_query
@@ -75,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_top_k": sql.EXACT_TOP_K, "op5_warc": sql.WARC, "op8_near_duplicates": sql.NEAR_DUPLICATES}
