@@ -186,3 +186,16 @@ def test_bookmark_columns(spark):
     ).head()
     assert row["slug"].startswith("h-llo-world-x") and len(row["slug"]) == 80
     assert (list(row["tags"]), row["title"], row["none"], row["yaml"], row["text"]) == (["news", "two words", "last"], 'say \\"hi\\"', "Untitled bookmark", '["a", "b"]', "a b")
+
+
+def test_bookmark_files(spark, tmp_path):
+    df = spark.createDataFrame([("2024/01/02/a.md", "one"), ("2024/01/02/b.md", "två")], "path string, document string")
+    written = sorted(r["path"] for r in bookmark.write_files(df, str(tmp_path)).collect())
+    assert [open(p, encoding="utf-8").read() for p in written] == ["one", "två"] and len(list(tmp_path.rglob("*.*"))) == 2
+
+
+def test_markup_and_blocks(spark):
+    one = spark.range(1).select(weave.inline_markup(F.lit("a <b> `c` **d** *e*"))).head()[0]
+    assert one == "a &lt;b&gt; <code>c</code> <b>d</b> <i>e</i>"
+    t = links.file_lines(files(spark, ("t", "# h\n## h\n### h\n---\n```\n# no\n```\n{{stats}}\n\ntext")))
+    assert [r["block"] for r in weave.blocks(t).orderBy("line_no").collect()] == ["h1", "h2", "h3", "hr", "code", "code", "code", "directive", "blank", "para"]
