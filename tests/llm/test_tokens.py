@@ -10,7 +10,7 @@ from textgraph.llm import token_coder
 from textgraph.llm.packing import first_fit_decreasing, pack_documents, packing_digest
 from textgraph.llm.queries import tokenizer
 from textgraph.llm.token_files import token_ids_digest
-from textgraph.llm.wordmemo import encoder
+from textgraph.llm.wordmemo import Encoder, HashIndex, encoder
 
 EDGES = [(3, "one two, three."), (1, None), (2, ""), (5, "  odd   spaces \n\t x"), (4, "<|endoftext|> y"), (None, "no id"), (3, "one two, three."), (9, "long " * 30000), (7, "é世 'll a.b ,c")]
 SCHEMA = "doc_id long, text string, ids string, start string, length string"
@@ -33,6 +33,25 @@ def test_encoder_equals_library(name, kind):
     assert all(list(got) == library(name, t) for got, t in zip(e(texts), texts))
 
 
+def test_full_memory_starts_anew(monkeypatch):
+    monkeypatch.setattr(Encoder, "room", 40)
+    e = Encoder(tokenizer("byte_bpe_50k.json"), "byte")
+    random.seed(2)
+    for _ in range(30):
+        texts = [" ".join(f"w{random.randrange(200)}" for _ in range(25)) for _ in range(3)]
+        assert all(list(got) == library("byte_bpe_50k.json", t) for got, t in zip(e(texts), texts))
+
+
+def test_hash_index():
+    index, rng = HashIndex(1000), np.random.default_rng(3)
+    h = np.unique(rng.integers(1, 1 << 60, 900).astype(np.uint64))
+    h[:300] = np.arange(1, 301, dtype=np.uint64) << np.uint64(20)  # all in one place of the table
+    h = np.unique(h)
+    index.add(h[::2], np.arange(len(h))[::2])
+    found = index.find(h)
+    assert (found[::2] == np.arange(len(h))[::2]).all() and (found[1::2] == -1).all()
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(1)
     for sizes in ([], [0], [1], [3, 0, 5000, 17], [token_coder.BLOCK, token_coder.BLOCK + 1]):
