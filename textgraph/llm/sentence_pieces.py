@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgraph.llm.common import arrow_limits
+from textgraph.llm.common import arrow_limits, lean
+from textgraph.llm.wordmemo import Memo
 
 SPACE = "▁"
 #: Bytes of joined words that are indexed at a time, and distinct words that are remembered.
-INDEX_BYTES, MEMO_WORDS = 1 << 20, 600_000
+INDEX_BYTES, MEMO_WORDS = 1 << 20, 1_500_000
+#: Bytes of text taken at a time.
+TEXT_BYTES = 2 << 20
 #: Bytes up to which suffixes are sorted; the rest of longer pieces is compared where their openings occur.
 DEPTH = 16
 #: Words of more symbols than this are relaxed one by one with a heap.
@@ -29,10 +32,13 @@ LONG_WORD = 256
 _NONE = np.int64(1) << 40
 
 
-class Pieces:
+class Pieces(Memo):
     """A model's pieces, as bytes, with ranks and ids."""
 
+    room = MEMO_WORDS
+
     def __init__(self, path: str):
+        super().__init__()
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,7 +59,6 @@ class Pieces:
         self.bytes = {b: self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         joined, begin = np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(self.sizes) - self.sizes
         self.keys, self.top = (self._keys(joined, begin, self.sizes, fill) for fill in (0, 255))
-        self.memo: dict[str, np.ndarray] = {}
 
     @staticmethod
     def _keys(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, fill: int = 0) -> list[np.ndarray]:
@@ -102,8 +107,8 @@ class Pieces:
         by = np.argsort(key, kind="stable")
         return key[by], self.rank[piece][by]
 
-    def _relax(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of words (with spaces as their mark), none empty."""
+    def _relax(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words (with spaces as their mark), none empty, and the numbers of them by word."""
         raw = [w.encode("utf-8", "replace") for w in words]
         data = np.frombuffer(b"\x00".join(raw) + b"\x00", np.uint8)  # no piece holds a NUL
         keys, ranks = self.edges(data)
@@ -160,55 +165,51 @@ class Pieces:
         a, b, of = a[by], b[by], of[by]
         r = rank_of(a, b)
         ids = np.where(r < _NONE, self.by_rank[np.minimum(r, len(self.by_rank) - 1)], -1)
-        cut = np.searchsorted(of, np.arange(len(words) + 1))
-        out = []
-        unknown = ids < 0
-        for i in range(len(words)):
-            p, q = cut[i], cut[i + 1]
-            if unknown[p:q].any():
-                out.append(np.array([x for j in range(p, q) for x in ([ids[j]] if ids[j] >= 0 else [self.bytes[c] for c in data[a[j] : b[j]].tolist()])], np.int32))
-            else:
-                out.append(ids[p:q].astype(np.int32))
-        return out
+        width = np.where(ids >= 0, 1, b - a)
+        at = np.cumsum(width) - width
+        flat = np.empty(int(width.sum()), np.int64)
+        flat[at[ids >= 0]] = ids[ids >= 0]
+        for j in np.flatnonzero(ids < 0):
+            flat[at[j] : at[j] + width[j]] = [self.bytes[c] for c in data[a[j] : b[j]].tolist()]
+        return flat, np.bincount(of, width, len(words)).astype(np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (null: none), as the model's own library gives them."""
-        texts = [self.normalizer.normalize(t) if t else "" for t in texts]
-        split = [self._words(t) for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        fresh = list({w for s in split for w in s} - self.memo.keys())
+        raw = [self.normalizer.normalize(t).encode() if t else b"" for t in texts]
+        out, at = [], 0
+        while at < len(raw):
+            upto, size = at, 0
+            while upto < len(raw) and (size < TEXT_BYTES or upto == at):
+                size += len(raw[upto])
+                upto += 1
+            out += [x.astype(np.int32) for x in self.ids_of(raw[at:upto])]
+            at = upto
+        return out
+
+    def cuts(self, data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """A word begins at each mark of a space that doesn't follow another."""
+        mark = np.zeros(len(data) + 3, bool)
+        a, b, c = SPACE.encode()
+        mark[3 : len(data) + 1] = (data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c) if len(data) > 2 else False
+        cut = mark[3:] & ~mark[:-3]
+        cut[texts[texts < len(data)]] = True
+        return np.flatnonzero(cut)
+
+    def learn(self, fresh: list[str], hashes: np.ndarray) -> None:
         at = 0
         while at < len(fresh):
             upto, size = at, 0
             while upto < len(fresh) and (size < INDEX_BYTES or upto == at):
                 size += len(fresh[upto]) + 1
                 upto += 1
-            part = fresh[at:upto]
-            short = [w for w in part if len(w) <= LONG_WORD]
+            short = [i for i in range(at, upto) if len(fresh[i]) <= LONG_WORD]
             if short:
-                self.memo.update(zip(short, self._relax(short)))
-            for w in part:
-                if len(w) > LONG_WORD:
-                    self.memo[w] = self._long(w)
+                self.remember(hashes[short], *self._relax([fresh[i] for i in short]))
+            for i in range(at, upto):
+                if len(fresh[i]) > LONG_WORD:
+                    ids = self._long(fresh[i])
+                    self.remember(hashes[i : i + 1], ids, np.array([len(ids)]))
             at = upto
-        none = np.empty(0, np.int32)
-        return [np.concatenate([self.memo[w] for w in s]) if s else none for s in split]
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        """A word begins at each mark of a space that doesn't follow another."""
-        parts = text.split(SPACE)
-        out, marks = [], 0
-        for i, p in enumerate(parts):
-            if i:
-                marks += 1
-            if p:
-                out.append(SPACE * marks + p)
-                marks = 0
-        if marks:
-            out.append(SPACE * marks)
-        return out
 
     def _long(self, word: str) -> np.ndarray:
         """One word of many symbols: the same merges, from a heap."""
@@ -279,7 +280,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
             flat = pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), pa.array(p.decode(ids), pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, ids array<int>, decoded string")
 
 
 def pieces_digest(docs: DataFrame, model: str) -> DataFrame:
