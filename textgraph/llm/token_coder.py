@@ -51,7 +51,8 @@ def _squash() -> np.ndarray:
 
 
 _SQUASH = _squash()
-_STRETCH = _stretch()
+_STRETCH = _stretch().astype(np.int32)
+_SQUASH = _SQUASH.astype(np.int32)
 
 # Classes of ranks: 16 of one rank, then 4 to each doubling, up to 2^17 ranks.
 _LOW = list(range(16))
@@ -62,24 +63,27 @@ for _o in range(4, 17):
         _BITS.append(_o - 2)
 LOW, BITS = np.array(_LOW, _I), np.array(_BITS, _I)
 CLASSES = len(LOW)
-_CLASS_OF = np.searchsorted(LOW, np.arange(1 << 17), side="right") - 1
+_CLASS_OF = np.append(np.searchsorted(LOW, np.arange(1 << 17), side="right") - 1, CLASSES)  # at -1: no id
 REBUILD = 8  # steps between rebuilds of the cumulative counts
 INC, LIMIT = 24, 1 << 13
 
 
 class _Model:
-    """State of all lanes; flat arrays so that one index reaches a cell of a lane."""
+    """State of all lanes; flat arrays so that one index reaches a cell of a lane.
+
+    A cell of seen1 and seen2 holds (id + 1) * 8 + confidence, 0 if no id was seen in its context.
+    """
 
     def __init__(self, lanes: int):
         n = self.n = lanes
         self.lane = np.arange(n, dtype=_I)
         self.l1, self.l2 = self.lane << H1, self.lane << H2
-        self.id1, self.id2 = np.full(n << H1, -1, np.int32), np.full(n << H2, -1, np.int32)
-        self.c1, self.c2 = np.zeros(n << H1, np.int8), np.zeros(n << H2, np.int8)
+        self.seen1, self.seen2 = np.zeros(n << H1, np.int32), np.zeros(n << H2, np.int32)
         self.p2 = np.full(n * 8, 2048, np.int32)
         self.p1 = np.full(n * 16, 1024, np.int32)
         self.p0 = np.full(n * (CLASSES + 1), 512, np.int32)
-        self.w = [np.full(n, 22000, _I) for _ in range(3)]
+        self.b2, self.b1, self.b0 = self.lane * 8, self.lane * 16, self.lane * (CLASSES + 1)
+        self.w = [np.full(n, 22000, np.int32) for _ in range(3)]
         self.count = np.full((CLASSES, n), 4, np.int32)
         self.x1, self.x2 = np.zeros(n, _I), np.zeros(n, _I)
         self.step = 0
@@ -88,7 +92,7 @@ class _Model:
     def shrink(self, n: int) -> None:
         """The last lanes end here; tables are by lane, so a prefix of lanes just stays."""
         self.n = n
-        for k in ("lane", "l1", "l2", "x1", "x2"):
+        for k in ("lane", "l1", "l2", "b2", "b1", "b0", "x1", "x2"):
             setattr(self, k, getattr(self, k)[:n])
         self.w = [w[:n] for w in self.w]
         self.count = np.ascontiguousarray(self.count[:, :n])
@@ -108,33 +112,48 @@ class _Model:
         """The candidate of each lane (-1: none) and the 12-bit probability that it comes true."""
         self.a1 = self.l1 + ((self.x1 * 40503 >> 4) & ((1 << H1) - 1))
         self.a2 = self.l2 + ((self.x1 * 0x9E3779B1 + self.x2 * 0x85EBCA6B >> 15) & ((1 << H2) - 1))
-        q1, q2 = self.id1[self.a1], self.id2[self.a2]
-        cand = np.where(q2 >= 0, q2, q1)
-        k2 = self.c2[self.a2].astype(_I)
-        k1 = self.c1[self.a1].astype(_I) + ((q1 == cand) << 3)
-        k0 = np.where(cand >= 0, _CLASS_OF[cand], CLASSES)
-        self.s2, self.s1, self.s0 = self.lane * 8 + k2, self.lane * 16 + k1, self.lane * (CLASSES + 1) + k0
-        self.t2, self.t1, self.t0 = _STRETCH[self.p2[self.s2]], _STRETCH[self.p1[self.s1]], _STRETCH[self.p0[self.s0]]
-        dot = (self.w[0] * self.t2 + self.w[1] * self.t1 + self.w[2] * self.t0) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        self.q1, self.q2 = q1, q2
+        self.e1, self.e2 = self.seen1[self.a1], self.seen2[self.a2]
+        q1, q2 = self.e1 >> 3, self.e2 >> 3
+        cand = np.where(q2 > 0, q2, q1)
+        self.s2 = self.b2 + (self.e2 & 7)
+        self.s1 = self.b1 + ((self.e1 & 7) + ((q1 == cand) << 3))
+        cand -= 1
+        self.s0 = self.b0 + _CLASS_OF[cand]
+        self.o2, self.o1, self.o0 = self.p2[self.s2], self.p1[self.s1], self.p0[self.s0]
+        self.t2, self.t1, self.t0 = _STRETCH[self.o2], _STRETCH[self.o1], _STRETCH[self.o0]
+        dot = self.w[0] * self.t2
+        dot += self.w[1] * self.t1
+        dot += self.w[2] * self.t0
+        dot >>= 16
+        np.maximum(dot, -2047, out=dot)
+        np.minimum(dot, 2047, out=dot)
+        dot += 2047
+        self.p = _SQUASH[dot]
         return cand, self.p
 
     def update(self, hit: np.ndarray, x: np.ndarray, rank_class: np.ndarray, missed: np.ndarray) -> None:
         """x: the ids (as ranks); missed: lanes whose id was coded by order 0, with the classes rank_class."""
-        goal = hit.astype(_I) << 12
-        err = (goal - self.p) * 6
+        yes = hit.astype(np.int32)
+        err = (yes << 12) - self.p
+        err *= 6
         for w, t in zip(self.w, (self.t2, self.t1, self.t0)):
-            w += (t * err + (1 << 13)) >> 14
-        goal = np.clip(goal, 16, 4080)
-        for p, s in ((self.p2, self.s2), (self.p1, self.s1), (self.p0, self.s0)):
-            old = p[s]
-            p[s] = old + ((goal - old) >> 5)
-        for ids, conf, at, q, top in ((self.id2, self.c2, self.a2, self.q2, 7), (self.id1, self.c1, self.a1, self.q1, 7)):
-            same = q == x
-            c = conf[at]
-            conf[at] = np.where(same, np.minimum(c + 1, top), np.maximum(c - 2, 0))
-            ids[at] = np.where(same | (c > 1), q, x)
+            t *= err
+            t += 1 << 13
+            t >>= 14
+            w += t
+            np.maximum(w, -(1 << 17), out=w)
+            np.minimum(w, 1 << 17, out=w)
+        yes *= 4064
+        yes += 16
+        for p, s, old in ((self.p2, self.s2, self.o2), (self.p1, self.s1, self.o1), (self.p0, self.s0, self.o0)):
+            p[s] = old + ((yes - old) >> 5)
+        mark = ((x + 1) << 3).astype(np.int32)
+        for seen, at, e in ((self.seen2, self.a2, self.e2), (self.seen1, self.a1, self.e1)):
+            c = e & 7
+            e -= c
+            same = e == mark
+            down = np.maximum(c - 2, 0)
+            seen[at] = np.where(same | (c > 1), e, mark) + np.where(same, np.minimum(c + 1, 7), down)
         if len(missed):
             self.count[rank_class, missed] += INC
         self.x2, self.x1 = self.x1, x
@@ -179,7 +198,7 @@ def _encode_lanes(ranks: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.n
         cand, p = m.predict()
         hit = cand == x
         bound = (rng[:k] >> 12) * p
-        low[:k] += np.where(hit, 0, bound)
+        low[:k] += bound * ~hit
         rng[:k] = np.where(hit, bound, rng[:k] - bound)
         put(hit, None)
         missed = np.flatnonzero(~hit)
