@@ -52,6 +52,21 @@ def prose_blocks(marked: DataFrame) -> DataFrame:
 
 
 def regions(marked: DataFrame) -> DataFrame:
-    """file, name, start_line, end_line, prose (blocks with an empty line between them, null without any)."""
-    flat = prose_blocks(marked).groupBy("file", "name", F.col("region_start").alias("start_line")).agg(F.expr("listagg(content, '\n\n') WITHIN GROUP (ORDER BY start_line)").alias("prose"))
-    return spans(marked).join(flat, ["file", "name", "start_line"], "left").select("file", "name", F.col("start_line").cast("int"), F.col("end_line").cast("int"), F.nullif("prose", F.lit("")).alias("prose"))
+    """file, name, start_line, end_line, prose (blocks with an empty line between them, null without any).
+
+    One shuffle by file: lines carry the start of the region they are in, and each prose line what stands before it.
+    """
+    so_far = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked.withColumn("start_line", F.last(F.when(F.col("kind") == "region", F.col("line_no")), ignorenulls=True).over(so_far)).filter("start_line is not null")
+    here = Window.partitionBy("path", "start_line").orderBy("line_no")
+    ended = F.count(F.when(F.col("kind") == "end", 1)).over(here.rowsBetween(Window.unboundedPreceding, 0)) > 0
+    rows = rows.withColumn("said", F.when((F.col("kind") == "prose") & ~ended, F.col("line_no")))
+    before = F.last("said", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.when(before.isNull(), "").when(before == F.col("line_no") - 1, "\n").otherwise("\n\n")
+    rows = rows.withColumn("part", F.when(F.col("said").isNotNull(), F.concat(gap, "prose")))
+    found = rows.groupBy(F.col("path").alias("file"), "start_line").agg(
+        F.max(F.when(F.col("line_no") == F.col("start_line"), F.col("name"))).alias("name"),
+        F.coalesce(F.min(F.when(F.col("kind") == "end", F.col("line_no"))), F.max("line_no")).alias("end_line"),
+        F.expr("listagg(part, '') WITHIN GROUP (ORDER BY line_no)").alias("prose"),
+    )
+    return found.select("file", "name", F.col("start_line").cast("int"), F.col("end_line").cast("int"), F.nullif("prose", F.lit("")).alias("prose"))
