@@ -44,7 +44,7 @@ def components(links: DataFrame, folder: str, task_links: int = TASK_LINKS) -> D
     Up to task_links links one task joins them.  More links are first contracted: tasks replace their share of the
     links by stars of their local components, until labels of all stars agree (minimum labels with jumps).
     """
-    if links.limit(task_links + 1).count() <= task_links:
+    if links.count() <= task_links:
         return saved(links.select("x", "y").coalesce(1).mapInArrow(_union, "node long, comp long"), f"{folder}/labels")
     stars = saved(links.select("x", "y").mapInArrow(_union, "node long, comp long"), f"{folder}/stars")
     edges = saved(stars.filter("node <> comp").distinct(), f"{folder}/edges0")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textgraph.llm.common import Words, arrow_limits, mix64, powers, remove, saved, shuffle_parts, work_dir
+from textgraph.llm.common import Words, arrow_limits, lean, mix64, powers, remove, saved, shuffle_parts, work_dir
 
 #: Words of a block that is deleted, at least; words of a line that may name a pair, at least.
 MIN_WORDS, LINE_WORDS = 50, 4
@@ -181,7 +181,7 @@ def document_pairs(docs: DataFrame, min_words: int, folder: str) -> DataFrame:
     In a run, the first document with most of its words names a pair, and so does each with a quarter of min_words.
     """
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    lines = saved(rows.mapInArrow(_line_rows, "h long, doc long, at int, size smallint, before smallint, after smallint"), f"{folder}/lines")
+    lines = saved(rows.mapInArrow(lean(_line_rows), "h long, doc long, at int, size smallint, before smallint, after smallint"), f"{folder}/lines")
     firsts = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "first")
     shared = lines.join(firsts, "h").drop("h")
     w = Window.partitionBy("doc").orderBy("at")
@@ -237,7 +237,7 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if out := result():
             yield pa.RecordBatch.from_pylist(out, schema=_CUT)
 
-    return saved(both.mapInArrow(align, "doc_id long, of long, removed_words long, sources array<long>, text string"), f"{folder}/cut")
+    return saved(both.mapInArrow(lean(align), "doc_id long, of long, removed_words long, sources array<long>, text string"), f"{folder}/cut")
 
 
 _CUT = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("removed_words", pa.int64()), ("sources", pa.list_(pa.int64())), ("text", pa.string())])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgraph.llm.common import arrow_limits, shuffle_parts
+from textgraph.llm.common import arrow_limits, lean, shuffle_parts
 from textgraph.llm.wordmemo import encoder
 
 #: Bytes of text to a group of documents, on average; a group is packed in one task.
@@ -89,7 +89,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 1,
         filled = np.bincount(bins, sizes).astype(np.int64)[bins]
         return by.drop_columns(["packing_group"]).append_column("sequence_id", pa.array((number << 32) + bins)).append_column("offset", pa.array(offsets)).append_column("sequence_tokens", pa.array(filled))
 
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "packing_group int, doc_id long, start long, length long, doc_tokens long, ids binary")
+    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), "packing_group int, doc_id long, start long, length long, doc_tokens long, ids binary")
     packed = pieces.repartition(max(shuffle_parts(spark), 1), "packing_group").groupBy("packing_group").applyInArrow(pack, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, sequence_tokens long")
     return packed.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "ids")
 

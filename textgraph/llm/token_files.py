@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgraph.llm import files, token_coder
-from textgraph.llm.common import arrow_limits, saved, shuffle_parts, work_dir
+from textgraph.llm.common import arrow_limits, lean, saved, shuffle_parts, work_dir
 from textgraph.llm.wordmemo import encoder
 
 #: Ids of a file, about: so much is held in memory by one task, whatever its share of documents.
@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str, e
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return saved(ordered.mapInArrow(write, "part int, seq int, path string, docs long, ids long, first long"), f"{folder}/manifest")
+    return saved(ordered.mapInArrow(lean(write), "part int, seq int, path string, docs long, ids long, first long"), f"{folder}/manifest")
 
 
 _MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("first", pa.int64())])
@@ -90,7 +90,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     )
 
     spread = manifest.select("path", "part", "first").repartition(max(1, min(len(totals), 4096)))
-    return spread.mapInArrow(read, "doc_id long, start long, ids binary")
+    return spread.mapInArrow(lean(read), "doc_id long, start long, ids binary")
 
 
 def token_ids_digest(docs: DataFrame, tokenizer: str) -> DataFrame:

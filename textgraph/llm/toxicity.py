@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgraph.llm.common import Words, arrow_limits, crc_of_id, saved, span_hashes, work_dir
+from textgraph.llm.common import Words, arrow_limits, crc_of_id, lean, saved, span_hashes, work_dir
 
 #: Labelled documents that lexicon and model are fitted on, at most (chosen by a hash of their id), and lexicon entries.
 SAMPLE, ENTRIES = 20_000, 4096
@@ -275,7 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str) -> Lexicon:
             text = [t.word(i).decode("utf-8", "replace") for i in at]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(bad), pa.array(all_)], names=["word", "bad", "n"])
 
-    counts = saved(sample.mapInArrow(words, "word string, bad long, n long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), f"{folder}/words")
+    counts = saved(sample.mapInArrow(lean(words), "word string, bad long, n long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), f"{folder}/words")
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).head()
     if not total["bad"] or total["bad"] == total["n"]:
         return Lexicon([], [], prior=(total["bad"] or 0) / max(total["n"], 1))
@@ -309,7 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str) -> Lexicon:
             x = shared.value.features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = sample.mapInArrow(measure, "toxic int, x array<double>").groupBy("x").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).collect()  # SAMPLE rows at most
+    rows = sample.mapInArrow(lean(measure), "toxic int, x array<double>").groupBy("x").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).collect()  # SAMPLE rows at most
     x = np.array([r["x"] for r in rows for _ in range(r["n"])]).reshape(-1, FEATURES)
     y = np.array([b for r in rows for b in [1.0] * r["bad"] + [0.0] * (r["n"] - r["bad"])])
     lexicon.weights, lexicon.prior = fit_logistic(x, y), rate
@@ -334,7 +334,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], names=[*kept, "score"])
 
     schema = docs.select(*kept).schema.add("score", "double")
-    return docs.select(*kept).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select(*kept).mapInArrow(lean(run), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Lexicon:

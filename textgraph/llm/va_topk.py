@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textgraph.llm.common import arrow_limits, saved, work_dir
-from textgraph.llm.vectors import batches_of, best_columns, classes, dimension, packed, ranked, unpack, valid
+from textgraph.llm.vectors import batches_of, classes, dimension, packed, ranked, unpack, valid
 
 #: Rows of a block of the file, queries of a block, and queries that are bounded at once.
 FILE_ROWS, QUERY_ROWS, STEP = 8192, 8192, 256

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgraph.llm import files
-from textgraph.llm.common import arrow_limits, saved, shuffle_parts, work_dir
+from textgraph.llm.common import arrow_limits, lean, saved, shuffle_parts, work_dir
 
 #: Payloads below this many bytes are stored even if they repeat.
 REVISIT_BYTES = 100
@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
         if index:
             yield flush()
 
-    out = full.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, "path string, offset long, length long, url string, digest string, page_id long, record_type string")
+    out = full.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(lean(write), "path string, offset long, length long, url string, digest string, page_id long, record_type string")
     return saved(out, f"{folder}/index")
 
 
@@ -160,7 +160,7 @@ def read_records(index: DataFrame) -> DataFrame:
                 at = upto
 
     chosen = index.select("path", "offset", "length", "url").repartition(shuffle_parts(spark), "path", F.floor(F.col("offset") / (8 * RANGE))).sortWithinPartitions("path", "offset")
-    return chosen.mapInArrow(read, "page_id long, url string, record_type string, payload binary, digest string, refers_to long")
+    return chosen.mapInArrow(lean(read), "page_id long, url string, record_type string, payload binary, digest string, refers_to long")
 
 
 def warc_digest(spark: SparkSession, pages: DataFrame) -> DataFrame:
