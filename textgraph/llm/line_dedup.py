@@ -209,7 +209,8 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     remove(spark, f"{folder}/lines")
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     earlier = saved(pairs.join(rows.withColumnsRenamed({"doc_id": "first", "text": "first_text"}), "first"), f"{folder}/earlier").filter("first < doc")
-    both = earlier.join(rows.withColumnRenamed("doc_id", "doc"), "doc").withColumn("of", F.xxhash64("text"))
+    later = rows.withColumnRenamed("doc_id", "doc").join(pairs.select("doc"), "doc", "left_semi")  # few texts reach the shuffle
+    both = earlier.join(later, "doc").withColumn("of", F.xxhash64("text"))
     both = both.select("doc", "of", "first", "text", "first_text").repartition(shuffle_parts(spark), "doc", "of").sortWithinPartitions("doc", "of", "first")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
