@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgraph.llm.common import Words, arrow_limits, mix64, remove, saved, shuffle_parts, work_dir
+from textgraph.llm.common import Words, arrow_limits, lean, mix64, remove, saved, shuffle_parts, work_dir
 from textgraph.llm.components import components
 
 SHINGLE = 5
@@ -113,7 +113,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             rows = {i: r.tobytes() for i, r in zip(own, sketches([sets[i] for i in own]))}
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([None if d is None else rows[first[d]] for d in digest], pa.binary())], names=["doc_id", "n", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n long, digest binary, sketch binary")
 
 
 def _band_rows(reps: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([w.tobytes() for w in wide], pa.binary())], names=["rep", "set", "wide"]).filter(pa.array(right, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc").select("rep", "digest", "text")
-    return texts.mapInArrow(run, "rep long, set binary, wide binary").dropDuplicates(["rep"])
+    return texts.mapInArrow(lean(run), "rep long, set binary, wide binary").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         dealt = rows_now.withColumn("side", own).withColumn("other", F.explode(others)).join(sketch_of if partners else sets.select("rep", F.col("wide").alias("sketch")), "rep")
         dealt = dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "comp", "sketch")
         dealt = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-        pairs = dealt.mapInArrow(_bucket_pairs(least_match(percent / 100, width), width, partners), "x long, y long").distinct()
+        pairs = dealt.mapInArrow(lean(_bucket_pairs(least_match(percent / 100, width), width, partners)), "x long, y long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = saved(pairs, f"{folder}/pairs{r}")
@@ -294,5 +294,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         joined = joined.join(named, "node", "left")
     else:
         joined = joined.withColumn("least", F.lit(None).cast("long"))
-    out = joined.withColumn("component_id", F.coalesce("least", "rep", "doc_id"))
+    out = joined.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
