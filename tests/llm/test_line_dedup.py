@@ -72,3 +72,17 @@ def test_passages_in_another_order():
 def test_without_keeps_breaks():
     assert without("a b\nc d\ne f", [(2, 4)]) == "a b\ne f"
     assert without("a b c d", [(1, 3)]) == "a d" and without("é b c", [(0, 1)]) == "b c" and without("a b", [(0, 2)]) == ""
+
+
+def texts_of(spark, rows):
+    return {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, rows)).collect()}
+
+
+def numbered(n, ends="!!"):
+    return " ".join(f"{random.choice(WORDS)}{i}{ends}" for i in range(n))
+
+
+def test_a_passage_twice_in_the_later_document(spark):
+    passage = "\n".join(prose(12) for _ in range(5))
+    rows = [(1, "one.\n" + passage), (2, "\n".join(["two.", passage, "three.", passage, "four."])), (3, passage + "\n" + passage)]
+    assert texts_of(spark, rows) == {1: rows[0][1], 2: "two.\nthree.\nfour."}

@@ -21,6 +21,8 @@ from textgraph.llm.common import Words, arrow_limits, lean, mix64, powers, remov
 
 #: Words of a block that is deleted, at least; words of a line that may name a pair, at least.
 MIN_WORDS, LINE_WORDS = 50, 4
+#: Odd factors of hashes of stretches.
+_ODD = mix64(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
@@ -92,22 +94,36 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _spans(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of h[i : i + k], for each i that has k values."""
+    if len(h) < k:
+        return np.empty(0, np.uint64)
+    out, size = h, 1
+    for level, bit in enumerate(bin(k)[3:]):
+        out, size = out[: len(out) - size] * _ODD[2 * level] + out[size:], 2 * size
+        if bit == "1":
+            out, size = out[:-1] * _ODD[2 * level + 1] + h[size:], size + 1
+    return mix64(out)
+
+
 def shared_blocks(a: Lines, s: int, b: Lines, t: int, min_words: int) -> list[tuple[int, int]]:
-    """Word spans of text s of a that are aligned blocks of min_words words or more with text t of b.
+    """Word spans of text s of a that are blocks of min_words words or more of text t of b.
 
-    After an alignment, lines that are still unmatched are aligned again, so passages in another order are found, too.
+    After an alignment, lines of a that are still unmatched are aligned again with all of b, so passages in another
+    order and passages that a repeats are found, too.  Blocks that no whole line leads to are found by their words.
     """
     ha, hb = a.hashes[a.first[s] : a.first[s + 1]], b.hashes[b.first[t] : b.first[t + 1]]
+    open_at = np.isin(_spans(ha, min_words), _spans(hb, min_words))  # where a block's words aren't in a span yet
+    if not open_at.any():
+        return []
     la, lb = slice(a.first_line[s], a.first_line[s + 1]), slice(b.first_line[t], b.first_line[t + 1])
     wa, wb = (a.line[la] - a.first[s]).tolist() + [len(ha)], (b.line[lb] - b.first[t]).tolist() + [len(hb)]
     xa, xb = a.line_hashes[la].tolist(), b.line_hashes[lb].tolist()
     both = set(xa) & set(xb)
     ia, ib = [i for i, x in enumerate(xa) if x in both], [j for j, x in enumerate(xb) if x in both]
     spans: list[tuple[int, int]] = []
-    while ia and ib:
+    while ia and open_at.any():
         pairs = [(ia[p], ib[q]) for p, q in patience([xa[i] for i in ia], [xb[j] for j in ib])]
-        if not pairs:  # what is left repeats within both
-            break
         k, new = 0, []
         while k < len(pairs):
             m = k + 1
@@ -121,13 +137,14 @@ def shared_blocks(a: Lines, s: int, b: Lines, t: int, min_words: int) -> list[tu
                 e, f = e + 1, f + 1
             if e - p >= min_words:
                 new.append((p, e))
+                open_at[p : e - min_words + 1] = False
             k = m
+        if not new:
+            break
         spans += new
-        used_a, used_b = {i for i, _ in pairs}, {j for _, j in pairs}
-        ia, ib = [i for i in ia if i not in used_a], [j for j in ib if j not in used_b]
-        left = {xa[i] for i in ia} & {xb[j] for j in ib}
-        ia, ib = [i for i in ia if xa[i] in left], [j for j in ib if xb[j] in left]
-    return spans
+        used = {i for i, _ in pairs}
+        ia = [i for i in ia if i not in used]
+    return spans + merged([(p, p + min_words) for p in np.flatnonzero(open_at).tolist()])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
