@@ -82,6 +82,13 @@ def numbered(n, ends="!!"):
     return " ".join(f"{random.choice(WORDS)}{i}{ends}" for i in range(n))
 
 
+def test_passages_of_short_lines(spark):
+    shout, verse = numbered(70), "\n".join(f"{numbered(2, '')} {numbered(1, '.')}" for _ in range(30))
+    plain = numbered(55, "")
+    rows = [(1, shout), (2, shout), (3, "start here\n" + verse), (4, verse + "\nand the end"), (5, "a " + plain + " b"), (6, "c " + plain + " d")]
+    assert texts_of(spark, rows) == {1: shout, 3: rows[2][1], 4: "and the end", 5: rows[4][1], 6: "c d"}
+
+
 def test_a_passage_twice_in_the_later_document(spark):
     passage = "\n".join(prose(12) for _ in range(5))
     rows = [(1, "one.\n" + passage), (2, "\n".join(["two.", passage, "three.", passage, "four."])), (3, passage + "\n" + passage)]

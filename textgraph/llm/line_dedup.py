@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from textgraph.llm.common import Words, arrow_limits, lean, mix64, powers, remove, saved, shuffle_parts, work_dir
 
-#: Words of a block that is deleted, at least; words of a line that may name a pair, at least.
-MIN_WORDS, LINE_WORDS = 50, 4
+#: Words of a block that is deleted, at least.
+MIN_WORDS = 50
 #: Odd factors of hashes of stretches.
 _ODD = mix64(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 _STOP = np.zeros(256, bool)
@@ -94,18 +94,6 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _spans(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of h[i : i + k], for each i that has k values."""
-    if len(h) < k:
-        return np.empty(0, np.uint64)
-    out, size = h, 1
-    for level, bit in enumerate(bin(k)[3:]):
-        out, size = out[: len(out) - size] * _ODD[2 * level] + out[size:], 2 * size
-        if bit == "1":
-            out, size = out[:-1] * _ODD[2 * level + 1] + h[size:], size + 1
-    return mix64(out)
-
-
 def shared_blocks(a: Lines, s: int, b: Lines, t: int, min_words: int) -> list[tuple[int, int]]:
     """Word spans of text s of a that are blocks of min_words words or more of text t of b.
 
@@ -173,43 +161,69 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(parts).decode("utf-8", "surrogatepass")
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        w = Lines(batch.column(1).to_pylist())
-        if not len(w.line):
-            continue
-        counts = np.diff(w.first_line)
-        doc = np.repeat(np.arange(batch.num_rows), counts)
-        start = w.line - w.first[doc]
-        size = np.minimum(w.sizes, 32767)
-        same_before = np.concatenate(([False], doc[1:] == doc[:-1]))
-        same_after = np.concatenate((doc[1:] == doc[:-1], [False]))
-        before = np.where(same_before, np.concatenate(([0], size[:-1])), 0)
-        after = np.where(same_after, np.concatenate((size[1:], [0])), 0)
-        keep = np.flatnonzero(w.sizes >= LINE_WORDS)
-        cols = [pa.array(w.line_hashes[keep].view(np.int64)), batch.column(0).take(pa.array(doc[keep])), pa.array(start[keep].astype(np.int32)), *(pa.array(c[keep].astype(np.int16)) for c in (size, before, after))]
-        yield pa.RecordBatch.from_arrays(cols, names=["h", "doc", "at", "size", "before", "after"])
+def _spans(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of h[i : i + k], for each i that has k values."""
+    if len(h) < k:
+        return np.empty(0, np.uint64)
+    out, size = h, 1
+    for level, bit in enumerate(bin(k)[3:]):
+        out, size = out[: len(out) - size] * _ODD[2 * level] + out[size:], 2 * size
+        if bit == "1":
+            out, size = out[:-1] * _ODD[2 * level + 1] + h[size:], size + 1
+    return mix64(out)
+
+
+def _least(x: np.ndarray, k: int) -> np.ndarray:
+    """The least of x[i : i + k], for each i that has k values."""
+    size = 1
+    while 2 * size <= k:
+        x, size = np.minimum(x[: len(x) - size], x[size:]), 2 * size
+    return np.minimum(x[: len(x) - (k - size)], x[k - size :])
+
+
+def window_marks(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, mark) of each stretch of min_words words: of the stretches of just over half as many words in
+    it, the least hash.  Equal stretches have equal marks, wherever they stand."""
+    k = min_words // 2 + 1
+    n = len(w.hashes) - min_words + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    marks = _least(_spans(w.hashes, k), min_words - k + 1)
+    doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))[:n]
+    at = np.flatnonzero(w.first[doc + 1] - np.arange(n) >= min_words)
+    return doc[at], at, marks[at]
+
+
+def _distinct(doc: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((x, doc))
+    doc, x = doc[order], x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (x[1:] != x[:-1])
+    return doc[new], x[new]
+
+
+def _hash_rows(ids: pa.Array, doc: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), ids.take(pa.array(doc))], names=["h", "doc"])
 
 
 def document_pairs(docs: DataFrame, min_words: int, folder: str) -> DataFrame:
-    """(doc, first): later documents and the first documents that have lines of theirs, where a block may be long enough.
+    """(doc, first): later documents and, for each min_words words that an earlier one has, the first that has them.
 
-    A run of shared lines with less than min_words words, the whole lines next to it included, can't hold a block.
-    In a run, the first document with most of its words names a pair, and so does each with a quarter of min_words.
+    Marks (see window_marks) that one document has can't lie in shared words; the first that has one names a pair.
     """
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    lines = saved(rows.mapInArrow(lean(_line_rows), "h long, doc long, at int, size smallint, before smallint, after smallint"), f"{folder}/lines")
-    firsts = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "first")
-    shared = lines.join(firsts, "h").drop("h")
-    w = Window.partitionBy("doc").orderBy("at")
-    gap = F.col("at") - F.lag(F.col("at") + F.col("size")).over(w)
-    shared = shared.withColumn("new", F.coalesce((gap >= LINE_WORDS + 4).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
-    run = Window.partitionBy("doc", "run")
-    reach = F.max(F.col("at") + F.col("size") + F.col("after")).over(run) - F.min(F.col("at") - F.col("before")).over(run)
-    heavy = shared.withColumn("reach", reach).filter((F.col("reach") >= min_words) & (F.col("first") < F.col("doc")))
-    by_first = heavy.groupBy("doc", "run", "first").agg(F.sum("size").alias("words"))
-    best = by_first.withColumn("most", F.max("words").over(Window.partitionBy("doc", "run")))
-    return best.filter((F.col("words") == F.col("most")) | (4 * F.col("words") >= min_words)).select("doc", "first").distinct()
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, _, x = window_marks(Words(batch.column(1).to_pylist()), min_words)
+            change = np.ones(len(x), bool)
+            change[1:] = (doc[1:] != doc[:-1]) | (x[1:] != x[:-1])
+            yield _hash_rows(batch.column(0), *_distinct(doc[change], x[change]))
+
+    held = saved(rows.mapInArrow(lean(marks), "h long, doc long"), f"{folder}/marks")
+    shared = held.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    shared = saved(shared, f"{folder}/shared")
+    return held.join(shared, "h").filter("first < doc").select("doc", "first").distinct()
 
 
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -223,7 +237,7 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     arrow_limits(spark)
     folder = work_dir(spark, "line-dedup")
     pairs = saved(document_pairs(docs, min_words, folder), f"{folder}/pairs").filter("first < doc")
-    remove(spark, f"{folder}/lines")
+    remove(spark, *(f"{folder}/{x}" for x in ("marks", "shared")))
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     earlier = saved(pairs.join(rows.withColumnsRenamed({"doc_id": "first", "text": "first_text"}), "first"), f"{folder}/earlier").filter("first < doc")
     later = rows.withColumnRenamed("doc_id", "doc").join(pairs.select("doc"), "doc", "left_semi")  # few texts reach the shuffle
