@@ -89,7 +89,38 @@ def test_passages_of_short_lines(spark):
     assert texts_of(spark, rows) == {1: shout, 3: rows[2][1], 4: "and the end", 5: rows[4][1], 6: "c d"}
 
 
+def test_the_first_document_of_a_whole_block_is_found(spark):
+    lines = [prose(6) for _ in range(10)]
+    whole = "\n".join(lines)
+    rows = [(i, "\n".join([prose(9), lines[2 * i - 2], prose(9), lines[2 * i - 1]])) for i in range(1, 6)] + [(6, whole), (7, whole)]
+    assert texts_of(spark, rows) == dict(rows[:6])
+    halves = [numbered(30, "") for _ in range(2)]
+    rows = [(1, halves[0] + "\n" + prose(9)), (2, prose(9) + "\n" + halves[1]), (3, " ".join(halves)), (4, "x. " + " ".join(halves) + " y.")]
+    assert texts_of(spark, rows) == dict(rows[:3]) | {4: "x. y."}
+    parts = [numbered(12, "") for _ in range(5)]
+    rows = [(i + 1, " ".join(parts[i : i + 3])) for i in range(3)] + [(8, "u " + " ".join(parts)), (9, "v " + " ".join(parts) + " w")]
+    assert texts_of(spark, rows) == dict(rows[:4]) | {9: "v w"}
+
+
 def test_a_passage_twice_in_the_later_document(spark):
     passage = "\n".join(prose(12) for _ in range(5))
     rows = [(1, "one.\n" + passage), (2, "\n".join(["two.", passage, "three.", passage, "four."])), (3, passage + "\n" + passage)]
     assert texts_of(spark, rows) == {1: rows[0][1], 2: "two.\nthree.\nfour."}
+
+
+def test_every_stretch_of_min_words_is_cut(spark):
+    """Against brute force: what goes is each min_words words that an earlier document has, and nothing else."""
+    parts = [" ".join(random.choice(WORDS) + random.choice(("", "", ".", "\n")) for _ in range(random.randint(3, 14))) for _ in range(6)]
+    rows = [(i, " ".join(random.choice(parts) for _ in range(random.randint(1, 9)))) for i in range(60)]
+    words = {i: t.split() for i, t in rows}
+    held: dict[tuple, int] = {}
+    for i in sorted(words):
+        for p in range(len(words[i]) - 19):
+            held.setdefault(tuple(words[i][p : p + 20]), i)
+    want = {}
+    for i, w in words.items():
+        gone = {q for p in range(len(w) - 19) if held[tuple(w[p : p + 20])] < i for q in range(p, p + 20)}
+        if gone:
+            want[i] = [x for q, x in enumerate(w) if q not in gone]
+    got = {r["doc_id"]: (r["text"].split(), r["removed_words"]) for r in shared_passages(frame(spark, rows), 20).collect()}
+    assert len(want) > 20 and got == {i: (left, len(words[i]) - len(left)) for i, left in want.items()}

@@ -209,7 +209,9 @@ def _hash_rows(ids: pa.Array, doc: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
 def document_pairs(docs: DataFrame, min_words: int, folder: str) -> DataFrame:
     """(doc, first): later documents and, for each min_words words that an earlier one has, the first that has them.
 
-    Marks (see window_marks) that one document has can't lie in shared words; the first that has one names a pair.
+    Marks (see window_marks) that one document has can't lie in shared words.  Where two have a mark, they are a pair.
+    Where more have it, the first of them needn't have all min_words words, so each stretch of that mark names its own
+    first document.
     """
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
 
@@ -220,10 +222,29 @@ def document_pairs(docs: DataFrame, min_words: int, folder: str) -> DataFrame:
             change[1:] = (doc[1:] != doc[:-1]) | (x[1:] != x[:-1])
             yield _hash_rows(batch.column(0), *_distinct(doc[change], x[change]))
 
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = Words(batch.column(1).to_pylist())
+            doc, at, x = window_marks(w, min_words)
+            wanted = batch.column(2)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+            asked = _pair_hashes(of, wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            hit = np.isin(_pair_hashes(doc, x), asked)
+            yield _hash_rows(batch.column(0), *_distinct(doc[hit], _spans(w.hashes, min_words)[at[hit]]))
+
     held = saved(rows.mapInArrow(lean(marks), "h long, doc long"), f"{folder}/marks")
-    shared = held.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    shared = held.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last")
     shared = saved(shared, f"{folder}/shared")
-    return held.join(shared, "h").filter("first < doc").select("doc", "first").distinct()
+    two = shared.filter("n = 2").select(F.col("last").alias("doc"), "first").distinct()
+    crowded = held.join(shared.filter("n > 2").select("h"), "h").groupBy("doc").agg(F.collect_set("h").alias("marks"))
+    wanted = saved(rows.join(crowded, "doc").mapInArrow(lean(stretches), "h long, doc long"), f"{folder}/stretches")
+    firsts = wanted.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "first")
+    more = wanted.join(firsts, "h").filter("first < doc").select("doc", "first").distinct()
+    return two.unionByName(more).distinct()
+
+
+def _pair_hashes(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return mix64(x ^ mix64(doc.astype(np.uint64) + _ODD[0]))
 
 
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -237,7 +258,7 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     arrow_limits(spark)
     folder = work_dir(spark, "line-dedup")
     pairs = saved(document_pairs(docs, min_words, folder), f"{folder}/pairs").filter("first < doc")
-    remove(spark, *(f"{folder}/{x}" for x in ("marks", "shared")))
+    remove(spark, *(f"{folder}/{x}" for x in ("marks", "shared", "stretches")))
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     earlier = saved(pairs.join(rows.withColumnsRenamed({"doc_id": "first", "text": "first_text"}), "first"), f"{folder}/earlier").filter("first < doc")
     later = rows.withColumnRenamed("doc_id", "doc").join(pairs.select("doc"), "doc", "left_semi")  # few texts reach the shuffle
