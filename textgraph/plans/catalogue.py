@@ -487,6 +487,13 @@ def markdown_blocks(spark, sf_dir):
     return weave.blocks(links.file_lines(files(spark, sf_dir).filter("ext = '.md'"))).filter("line_no <= 4")
 
 
+@query(_with([corpus.FILES, _LINES], r"""SELECT path, line_no, CASE WHEN fence OR fences % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^\s*(-{3,}|\*{3,}|_{3,})\s*$') THEN 'hr' WHEN line LIKE '### %' THEN 'h3' WHEN line LIKE '## %' THEN 'h2'
+ WHEN line LIKE '# %' THEN 'h1' WHEN regexp_matches(line, '^(\s*)\{\{(\w+)(:([^}]+))?\}\}\s*$') THEN 'directive' WHEN regexp_matches(line, '^\s*$') THEN 'blank' ELSE 'para' END AS block
+ FROM (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS fences FROM (SELECT *, starts_with(ltrim(line), '```') AS fence FROM lines WHERE ext = '.md'))"""))
+def markdown_blocks_whole(spark, sf_dir):
+    return weave.blocks(links.file_lines(files(spark, sf_dir).filter("ext = '.md'")))
+
+
 @query("SELECT item_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS markup FROM benchmark")
 def inline_markup(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", weave.inline_markup(F.col("text")).alias("markup"))
