@@ -1,9 +1,10 @@
-"""Passages that documents share, found by rare line hashes, aligned with patience diff, and cut from the later document.
+"""Passages that documents share, found by marks of their words, aligned with patience diff, and cut from the later document.
 
-A line here ends at a line break or behind a sentence's last word, and is compared by its words (A-Z as lower case).
-Lines that several documents have name pairs of documents: each later document and the first that has the line.  The
-lines of a pair are aligned; an aligned block is extended word by word at both ends, and if it has ``min_words`` words
-it is deleted from the later document.  The first document that has a line keeps it.
+Every stretch of ``min_words`` words has a mark, which depends on these words only (A-Z as lower case).  Marks that
+several documents have name pairs of documents: each later document and the first that has the whole stretch.  The
+lines of a pair (a line ends at a line break or behind a sentence's last word) are aligned; an aligned block is extended
+word by word at both ends, and blocks that no whole line leads to are found by their words.  A block of ``min_words``
+words is deleted from the later document.  The first document that has a stretch keeps it.
 """
 
 from __future__ import annotations
