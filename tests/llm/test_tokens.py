@@ -5,8 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from textgraph.llm import token_coder
+from textgraph.llm import token_files
 from textgraph.llm.packing import first_fit_decreasing, pack_documents, packing_digest
 from textgraph.llm.queries import tokenizer
 from textgraph.llm.token_files import token_ids_digest
@@ -52,27 +53,54 @@ def test_hash_index():
     assert (found[::2] == np.arange(len(h))[::2]).all() and (found[1::2] == -1).all()
 
 
-def test_coder_round_trip():
+def through(spark, docs):
+    """Each document's ids as coded blocks."""
+    df = spark.createDataFrame([(bytearray(d.astype("<u4").tobytes()),) for d in docs], "raw binary")
+    return df.select("raw", token_files.coded(spark, F.col("raw")).alias("blocks"))
+
+
+def test_coder_round_trip(spark):
     rng = np.random.default_rng(1)
-    for sizes in ([], [0], [1], [3, 0, 5000, 17], [token_coder.BLOCK, token_coder.BLOCK + 1]):
-        texts = [(rng.zipf(1.4, n) % 50000).astype(np.uint32) for n in sizes]
-        data = token_coder.encode_file([None if i == 1 else i for i in range(len(sizes))], texts)
-        ids, lens, flat = token_coder.decode_file(data)
-        assert ids == [None if i == 1 else i for i in range(len(sizes))] and list(lens) == sizes
-        assert (flat == np.concatenate([*texts, np.empty(0, np.uint32)])).all()
+    sizes = [0, 1, 3, 5000, (1 << 16) - 1, 1 << 16, (1 << 16) + 1, 200_000]
+    docs = [(rng.zipf(1.4, n) % 50000).astype(np.uint32) for n in sizes] + [rng.integers(0, 1 << 20, 3000).astype(np.uint32), np.full(999, (1 << 20) - 1, np.uint32)]
+    rows = through(spark, docs).select("raw", token_files.decoded(spark, F.col("blocks")).alias("back")).collect()
+    assert len(rows) == len(docs) and all(r["raw"] == r["back"] for r in rows)
+
+
+def test_coder_learns(spark):
+    first, second = np.tile(np.arange(40, dtype=np.uint32) * 7, 3000), np.random.default_rng(2).integers(0, 4, 60_000).astype(np.uint32) * 9000
+    a, b = (len(r["blocks"]) for r in through(spark, [first, second]).collect())
+    assert a < len(first) / 50  # known from the last two ids
+    assert b < len(second) * 2.5 / 8  # noise of two bits an id
+
 
+def test_coder_refuses_what_it_cannot_hold(spark):
+    with pytest.raises(Exception, match="20 bits at most"):
+        through(spark, [np.array([1 << 20], np.uint32)]).collect()
 
-def test_coder_learns_and_finds_damage():
-    text = np.tile(np.arange(40, dtype=np.uint32) * 7, 3000)
-    data = token_coder.encode_file([1], [text])
-    assert len(data) < len(text) * 2 / 8
-    with pytest.raises(ValueError):
-        token_coder.decode_file(data[:-3] + bytes(3 * [data[-1] ^ 85]))
+
+@pytest.mark.parametrize("where", [-1, 30, 9, 0])
+def test_damage_is_found(spark, where):
+    blocks = bytearray(through(spark, [np.arange(70_000, dtype=np.uint32)]).head()["blocks"])
+    blocks[where] ^= 85
+    df = spark.createDataFrame([(blocks,)], "blocks binary")
+    with pytest.raises(Exception, match="token file"):
+        df.select(token_files.decoded(spark, F.col("blocks"))).collect()
+
+
+def test_segments():
+    heads = token_files.pack_heads([5, None, -3], [1, 7, 0])
+    data = token_files.segment(heads, b"blocks")
+    ids, sizes, blocks = token_files.parse_segment(data)
+    assert (ids, list(sizes), blocks) == ([5, None, -3], [1, 7, 0], b"blocks")
+    for bad in (data[:-1], data[:25] + b"x" + data[26:], b""):
+        with pytest.raises(ValueError):
+            token_files.parse_segment(bad)
 
 
 def test_token_files(spark):
     got = sorted(token_ids_digest(docs(spark), tokenizer("byte_bpe_50k.json")).collect(), key=lambda r: r["start"])
-    order = sorted(EDGES, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    order = sorted(EDGES, key=lambda x: (x[0] is not None, x[0] or 0))  # the rows of id 3 are equal
     start = 0
     for row, (i, t) in zip(got, order, strict=True):
         ids = library("byte_bpe_50k.json", t) + [0]
@@ -82,6 +110,18 @@ def test_token_files(spark):
     assert token_ids_digest(docs(spark, []), tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_many_segments_and_files(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 50)
+    monkeypatch.setattr(token_files, "FILE_BYTES", 200)
+    rows = [(i % 60, f"text {i} " * (i % 9)) for i in range(200)]
+    got = sorted(token_ids_digest(docs(spark, rows).repartition(7), tokenizer("byte_bpe_50k.json")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(i for i, _ in rows)
+    starts = np.cumsum([0] + [r["n_tokens"] for r in got])
+    assert [r["start"] for r in got] == list(starts[:-1])
+    want = {zlib.crc32(np.array(library("byte_bpe_50k.json", t) + [0], "<u4").tobytes()) for _, t in rows}
+    assert {r["ids_crc32"] for r in got} == want
+
+
 def test_first_fit_decreasing_equals_plain():
     random.seed(3)
     for _ in range(50):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,12 +19,23 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2048
 
 
+_OWN: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests, local runs) below a temp folder."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a temp folder of its own; a cluster must name a shared one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="textgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext
+        if not app.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _OWN.setdefault(app.applicationId, "")
+        if not base:
+            base = _OWN[app.applicationId] = "file://" + tempfile.mkdtemp(prefix="textgraph-")
+            atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -22,6 +22,13 @@ def put(uri: str, data: bytes) -> None:
     system.move(part, path)
 
 
+def create(uri: str):
+    """A stream that writes a new file; its name should be the writer's own, as a lost task leaves what it wrote."""
+    system, path = _open(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(path)
+
+
 def get(uri: str) -> bytes:
     system, path = _open(uri)
     with system.open_input_stream(path) as f:
