@@ -7,28 +7,31 @@ vectors of those lists exactly.  Inner products become distances by one more com
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgraph.llm.common import arrow_limits, saved, shuffle_parts, work_dir
-from textgraph.llm.vectors import batches_of, best_columns, classes, dimension, packed, ranked, unpack, valid
+from textgraph.llm import files
+from textgraph.llm.common import arrow_limits, mix64, saved, shuffle_parts, work_dir
+from textgraph.llm.vectors import batches_of, best_columns, by_length, classes, one_of_each, packed, ranked, unpack, valid
 
-#: Vectors the index is fitted on, at most: centroids and the search ratio.  Every vector is indexed.
-SAMPLE = 32_768
-#: Vectors per list aimed at; centroids at most (they are sent to all tasks: MAX_LISTS x (dimension + 1) floats).
-LIST_ROWS, MAX_LISTS = 256, 4096
+#: Vectors the index is fitted on, at most (centroids, search ratio, blocks a list).  Every vector is indexed.
+SAMPLE, SAMPLE_OF_LIST = 32_768, 16
+#: Vectors per list aimed at; centroids at most (all tasks hold MAX_LISTS x (dimension + 1 + neighbours) numbers).  Beyond
+#: MAX_LISTS x LIST_ROWS vectors lists grow, in blocks.
+LIST_ROWS, MAX_LISTS = 256, 16_384
 #: Lists of a vector at most, and the distance (of the nearest) up to which a list takes it.
-REPLICAS, REPLICA_RATIO = 8, 1.35
+REPLICAS, REPLICA_RATIO = 4, 1.12
 #: Recall that the search ratio is chosen for, on sampled queries against the sample.
-AIM, AIM_QUERIES = 0.97, 256
+AIM, AIM_QUERIES = 0.96, 256
 NEIGHBOURS = 24
-#: Rows of a posting block and of a query block.
-BLOCK = 4096
+#: Rows of a posting block; queries that meet a block in one task, about.
+BLOCK, QUERY_SHARE = 4096, 1 << 16
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,6 +74,7 @@ class Index:
     graph: np.ndarray
     top: float  # largest norm
     ratio: float = 0.0  # distance ratio up to which a list is read
+    parts: np.ndarray = field(default_factory=lambda: np.ones(0, np.int64))  # blocks of each list, by what the sample says
 
     def place(self, v: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.top**2 - (v * v).sum(1), 0))
@@ -81,12 +85,31 @@ class Index:
         return np.concatenate((v * (self.top / norm), np.zeros((len(v), 1))), axis=1)
 
     def assign(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: the nearest list and others that are almost as near."""
-        d = np.sqrt(squared(self.place(v), self.centroids))
-        some = np.argsort(d, axis=1)[:, :REPLICAS]
-        near = np.take_along_axis(d, some, axis=1)
-        row, at = np.nonzero(near <= near[:, :1] * REPLICA_RATIO + 1e-9)
-        return row, some[row, at]
+        """(row, list) pairs: the nearest list, and others about as near that lie in another direction.
+
+        A list whose centroid is nearer to that of a list already taken than to the vector holds the same boundary, and
+        is passed over.
+        """
+        rows, lists = [], []
+        for i in range(0, len(v), 256):
+            x = self.place(v[i : i + 256])
+            d = squared(x, self.centroids)
+            n = min(2 * REPLICAS, d.shape[1])
+            some = np.argpartition(d, n - 1, axis=1)[:, :n]
+            near = np.take_along_axis(d, some, axis=1)
+            order = np.lexsort((some, near), axis=1) if n > 1 else np.zeros_like(some)
+            some, near = np.take_along_axis(some, order, axis=1), np.take_along_axis(near, order, axis=1)
+            c = self.centroids[some]
+            taken = np.zeros(some.shape, bool)
+            taken[:, 0] = True
+            for j in range(1, n):
+                apart = ((c[:, :j] - c[:, j : j + 1]) ** 2).sum(2)
+                behind = (taken[:, :j] & (apart < near[:, j : j + 1])).any(axis=1)
+                taken[:, j] = (near[:, j] <= near[:, 0] * REPLICA_RATIO**2 + 1e-12) & ~behind & (taken.sum(axis=1) < REPLICAS)
+            row, at = np.nonzero(taken)
+            rows.append(row + i)
+            lists.append(some[row, at])
+        return np.concatenate(rows), np.concatenate(lists)
 
     def walk(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` nearest centroids that best-first walks of the graph find: ids and distances, nearest first.
@@ -149,9 +172,13 @@ class Index:
         return np.concatenate(out_row), np.concatenate(out_list)
 
 
+def lists_for(count: int) -> int:
+    return int(min(MAX_LISTS, max(1, round(count / LIST_ROWS))))
+
+
 def fit(sample: np.ndarray, count: int, top: float, k: int) -> Index:
     """Centroids, graph and search ratio from a sample of the vectors; count: all vectors, top: their largest norm."""
-    lists = int(min(MAX_LISTS, max(1, len(sample) // 16), max(1, round(count / LIST_ROWS))))
+    lists = min(lists_for(count), max(1, len(sample) // SAMPLE_OF_LIST))
     index = Index(np.zeros((0, 0)), np.zeros((0, 0), np.int32), top)
     index.centroids = balanced_centroids(index.place(sample), lists)
     index.graph = neighbour_graph(index.centroids)
@@ -166,6 +193,7 @@ def fit(sample: np.ndarray, count: int, top: float, k: int) -> Index:
     need = np.full((len(q), len(sample)), np.inf)
     order = np.argsort(row, kind="stable")
     row, at = row[order], at[order]
+    index.parts = np.maximum(1, np.ceil(np.bincount(at, minlength=lists) * (count / len(sample) / BLOCK))).astype(np.int64)
     first = np.searchsorted(row, np.arange(len(sample)))
     for i in range(len(q)):
         need[i] = np.minimum.reduceat(d[i][at], first)
@@ -173,102 +201,184 @@ def fit(sample: np.ndarray, count: int, top: float, k: int) -> Index:
     return index
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def nearest(vectors: DataFrame, is_query: F.Column, k: int, vector: str = "embedding") -> DataFrame:
     """About the k nearest other rows of each query row, by largest inner product: query_id, rank, vec_id, score (double).
 
-    vectors needs vec_id and an array of numbers; other columns are ignored.  Null ids, null, empty or zero vectors,
-    vectors with null or non-finite components, and those whose length isn't the table's most frequent one take no
-    part.  Equal vectors are one class, scored once, of which the k + 1 smallest ids are kept (no result can hold
-    more); ties go to the smaller vec_id.  A query that its lists give fewer than k others is scored against all
-    vectors, in blocks; with fewer others in the table it gets all of them.
+    vectors needs vec_id and an array of numbers; other columns are ignored.  Null ids, null, empty or zero vectors, and
+    vectors with null or non-finite components take no part; those of different lengths aren't compared.  Equal vectors
+    are one class, scored once, of which the k + 1 smallest ids are kept (no result can hold more); ties go to the
+    smaller vec_id.  A query that its lists give fewer than k others is scored against all vectors, in blocks; with fewer
+    others in the table it gets all of them.
     """
-    spark = vectors.sparkSession
-    arrow_limits(spark)
-    folder = work_dir(spark, "spann")
-    dim = dimension(vectors, vector)
-    nonzero = F.exists("v", lambda x: x != 0.0)
-    rows = valid(vectors, vector).filter((F.size("v") == dim) & nonzero)
-    every = saved(classes(rows, k + 1), f"{folder}/classes")
-    query_rows = saved(rows.filter(is_query).distinct().join(every.select("class_id", "v"), "v").select("vec_id", "class_id"), f"{folder}/queries")
-    asked = saved(every.join(query_rows.select("class_id").distinct(), "class_id", "left_semi"), f"{folder}/asked")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    stats = every.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).head()
-    count, top = stats["n"], stats["top"]
-    if not count or not asked.head(1):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = min(1.0, SAMPLE / count)
-    by_hash = every.filter(F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(SAMPLE)
-    sample = np.array([r["v"] for r in by_hash.collect()] or [every.select("v").head()["v"]])
-    shared = spark.sparkContext.broadcast(fit(sample, count, top, k))
-
-    def split(batches: Iterator[pa.RecordBatch], search: bool) -> Iterator[pa.RecordBatch]:
+    arrow_limits(vectors.sparkSession)
+    folder = work_dir(vectors.sparkSession, "spann")
+    rows = valid(vectors, vector).filter(F.exists("v", lambda x: x != 0.0))
+    return by_length(rows, lambda some, d: _search(some, is_query, k, f"{folder}/{d}"), RESULT)
+
+
+def _search(rows: DataFrame, is_query: F.Column, k: int, folder: str) -> DataFrame:
+    """nearest() of vectors of one length."""
+    spark = rows.sparkSession
+    keyed, named = classes(rows, k + 1, f"{folder}/classes")
+    asking = saved(keyed.filter(is_query), f"{folder}/asking")
+    query_rows, asked = asking.select("vec_id", "class_id").distinct(), asking.groupBy("class_id").agg(F.first("v").alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    count, asks, top = named.count(), asked.count(), rows.agg(F.max(norm)).head()[0]
+    if not asks:
+        return spark.createDataFrame([], RESULT)
+    every = one_of_each(keyed, named)
+    postings, index = build_index(every, count, top, k, f"{folder}/postings")
+    shared = spark.sparkContext.broadcast(index)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                row, at = (shared.value.lists_of if search else shared.value.assign)(v)
+                row, at = shared.value.lists_of(_matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "class_id", "v"])
 
-    kind = "list int, class_id long, v array<double>"
-    postings = saved(every.select("class_id", "v").mapInArrow(lambda b: split(b, False), kind), f"{folder}/assigned")
-    probes = saved(asked.select("class_id", "v").mapInArrow(lambda b: split(b, True), kind), f"{folder}/probes")
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        """Lists in blocks of bounded size, however many vectors a list has."""
-        sizes = df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))  # MAX_LISTS rows at most
-        part = F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int").alias("part")
-        return saved(packed(df.join(F.broadcast(sizes), "list").select("list", part, "class_id", "v"), ["list", "part"], "<f8"), f"{folder}/{name}")
-
-    lists, asks = blocks(postings, "lists"), blocks(probes, "asks")
-    pairs = lists.join(asks.select("list", F.col("ids").alias("qids"), F.col("data").alias("qdata")), "list").select("ids", "data", "qids", "qdata")
-    found = saved(_best(pairs.repartition(shuffle_parts(spark)), k), f"{folder}/found")
+    probes = asked.mapInArrow(search, f"list int, class_id long, v {rows.schema['v'].dataType.simpleString()}")
+    dim, dtype = index.centroids.shape[1] - 1, "<f4" if "float" in rows.schema["v"].dataType.simpleString() else "<f8"
+    share = F.pmod(F.xxhash64("q"), F.lit(-(-asks // QUERY_SHARE))).alias("share")
+    meet = postings.select("list", "part", "path", "at", "n").join(probes.withColumnRenamed("class_id", "q"), "list").select("path", "at", "n", "q", "v", "part", "list", share)
+    meet = meet.repartition(shuffle_parts(spark), "list", "part", "share").sortWithinPartitions("path", "at", "q").select("path", "at", "n", "q", "v")
+    found = saved(meet.mapInArrow(lambda b: _best(_meetings(b), k), "q long, c long, score double"), f"{folder}/found")
     found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
-    # queries whose lists hold too few: all blocks of the table, under a key for each pair of blocks
-    few = asked.join(found.groupBy("q").count().filter(F.col("count") >= min(k + 1, count)).select(F.col("q").alias("class_id")), "class_id", "left_anti")
-    few = saved(few.select("class_id", "v"), f"{folder}/few")
+    # queries whose lists hold too few: all blocks of the table
+    enough = found.groupBy("q").count().filter(F.col("count") >= min(k + 1, count)).select(F.col("q").alias("class_id"))
+    few = saved(asked.join(enough, "class_id", "left_anti"), f"{folder}/few")
     left = few.count()
     if left:
-        parts, sets = -(-count // BLOCK), -(-left // BLOCK)
-        a = packed(every.withColumn("a", F.pmod(F.xxhash64("class_id"), F.lit(parts))), ["a"], "<f8").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-        b = packed(few.withColumn("b", F.pmod(F.xxhash64("class_id"), F.lit(sets))), ["b"], "<f8").select("b", F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("a"))
-        rest = _best(a.join(b, ["a", "b"]).select("ids", "data", "qids", "qdata"), k)
+        sets = packed(few.withColumn("s", F.pmod(F.xxhash64("class_id"), F.lit(-(-left // BLOCK)))), ["s"], "<f8")
+        blocks = postings.select("path", "at", "n", F.explode(F.sequence(F.lit(0), F.lit(-(-left // BLOCK) - 1))).alias("s"))
+        pairs = blocks.repartition(shuffle_parts(spark)).join(sets.select("s", "ids", "data"), "s").select("path", "at", "n", "ids", "data")
+        rest = pairs.mapInArrow(lambda b: _best(((_read(r["path"], r["at"], r["n"], dim, dtype), *unpack(r["ids"], r["data"], "<f8")) for r in batches_of(b)), k), "q long, c long, score double")
         found = found.unionByName(rest).groupBy("q", "c").agg(F.max("score").alias("score"))
-    return ranked(found, every, query_rows, k)
-
-
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """Scores of the best k + 1 of each block for each query of the other block; a task merges what its blocks give."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def merged() -> pa.RecordBatch:
-            q, c, s = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((c, -s, q))
-            q, c, s = q[order], c[order], s[order]
-            same = np.zeros(len(q), bool)
-            same[1:] = (q[1:] == q[:-1]) & (c[1:] == c[:-1])
-            q, c, s = q[~same], c[~same], s[~same]
-            first = np.flatnonzero(np.diff(q, prepend=q[0] - 1))
-            sizes = np.diff(first, append=len(q))
-            floor = np.where(sizes > k, s[np.minimum(first + k, len(q) - 1)], -np.inf)  # all that tie with the last stay
-            keep = s >= np.repeat(floor, sizes)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (q, c, s)], names=["q", "c", "score"])
-
-        for row in batches_of(batches):
-            ids, data = unpack(row["ids"], row["data"], "<f8")
-            qids, queries = unpack(row["qids"], row["qdata"], "<f8")
-            for at in range(0, len(qids), 256):
-                # row by row, so that a pair's score doesn't depend on its block
-                scores = queries[at : at + 256] @ data.T
-                q, c = np.nonzero(best_columns(scores, k + 1))
-                held.append((qids[at + q], ids[c], np.einsum("ij,ij->i", queries[at + q], data[c])))
-                size += len(q)
-            if size > 500_000:
-                yield merged()
-                held.clear()
-                size = 0
-        if held and size:
-            yield merged()
+    return ranked(found, named, query_rows, k)
 
-    return pairs.mapInArrow(score, "q long, c long, score double")
+
+def build_index(every: DataFrame, count: int, top: float, k: int, folder: str) -> tuple[DataFrame, Index]:
+    """The posting lists of every (class_id, v) as files, and what a search needs: a table of blocks and the Index.
+
+    count and top: vectors, and their largest norm.  A row of the table names a block of a list: list, part, path, at
+    (in the file), n (its vectors).  Blocks hold some BLOCK vectors, however many a list has.
+    """
+    spark = every.sparkSession
+    kind = every.schema["v"].dataType.simpleString()
+    wanted = max(SAMPLE, SAMPLE_OF_LIST * lists_for(count))
+    share = min(1 << 20, int(1.2 * wanted / count * (1 << 20)) + 1)
+    chosen = every.withColumn("h", F.xxhash64("class_id")).filter(F.pmod("h", F.lit(1 << 20)) < share).orderBy("h", "class_id").select("v").limit(wanted)
+    sample = np.array([r["v"] for r in chosen.collect()] or [every.head()["v"]], np.float64)
+    index = fit(sample, count, top, k)
+    shared = spark.sparkContext.broadcast(index)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, at = shared.value.assign(_matrix(batch.column(1)))
+                of = mix64(batch.column(0).to_numpy().view(np.uint64))[row]
+                part = (of % shared.value.parts[at].astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(part), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "part", "class_id", "v"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, out, at, done = f"{folder}/{uuid.uuid4().hex}", None, 0, []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now: tuple[int, int] | None = None
+
+        def put() -> None:
+            nonlocal out, at
+            ids, v = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            out = out or files.create(path)
+            data = ids.astype("<i8").tobytes() + v.tobytes()
+            out.write(data)
+            done.append({"list": now[0], "part": now[1], "path": path, "at": at, "n": len(ids)})
+            at += len(data)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two, ids = (batch.column(i).to_numpy() for i in range(3))
+            v = batch.column(3).flatten().to_numpy().reshape(len(ids), -1)
+            new = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+            for a, b in zip(new, np.append(new[1:], len(ids))):
+                if held and (one[a], two[a]) != now:
+                    put()
+                now = (int(one[a]), int(two[a]))
+                held.append((ids[a:b], v[a:b]))
+        if held:
+            put()
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pylist(done, schema=_BLOCKS)
+
+    spread = every.mapInArrow(assign, f"list int, part int, class_id long, v {kind}").repartition(shuffle_parts(spark), "list", "part").sortWithinPartitions("list", "part", "class_id")
+    return saved(spread.mapInArrow(write, "list int, part int, path string, at long, n long"), f"{folder}-blocks"), index
+
+
+_BLOCKS = pa.schema([("list", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("at", pa.int64()), ("n", pa.int64())])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
+
+
+Block = tuple[np.ndarray, np.ndarray]
+
+
+def _read(path: str, at: int, n: int, dim: int, dtype: str) -> Block:
+    """Ids and vectors of a block, repeated ones once."""
+    (data,) = files.ranges(path, [(at, n * (8 + dim * np.dtype(dtype).itemsize))])
+    ids = np.frombuffer(data[: 8 * n], "<i8")
+    once = np.append(True, ids[1:] != ids[:-1])
+    return ids[once], np.frombuffer(data[8 * n :], dtype).reshape(n, dim)[once].astype(np.float64)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
+    """Blocks with the queries that read them, some at a time; the rows of a block come one after another."""
+    key, block = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, at, n, q = batch.column(0).to_pylist(), *(batch.column(i).to_numpy() for i in (1, 2, 3))
+        values = batch.column(4).flatten().to_numpy()
+        queries = values.reshape(batch.num_rows, -1)
+        new = [i for i in range(batch.num_rows) if i == 0 or at[i] != at[i - 1] or path[i] != path[i - 1]]
+        for a, b in zip(new, [*new[1:], batch.num_rows]):
+            if (path[a], at[a]) != key:
+                key, block = (path[a], at[a]), _read(path[a], int(at[a]), int(n[a]), queries.shape[1], values.dtype.str)
+            yield block, q[a:b], queries[a:b].astype(np.float64)
+
+
+def _best(meetings: Iterator[tuple[Block, np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """Scores of the best k + 1 of each block for each query that reads it; a task merges what its blocks give."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def merged() -> pa.RecordBatch:
+        q, c, s = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        same = np.zeros(len(q), bool)
+        same[1:] = (q[1:] == q[:-1]) & (c[1:] == c[:-1])
+        q, c, s = q[~same], c[~same], s[~same]
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        sizes = np.diff(first, append=len(q))
+        floor = np.where(sizes > k, s[np.minimum(first + k, len(q) - 1)], -np.inf)  # all that tie with the last stay
+        keep = s >= np.repeat(floor, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (q, c, s)], names=["q", "c", "score"])
+
+    for (ids, data), qids, queries in meetings:
+        for at in range(0, len(qids), 256):
+            q, c = np.nonzero(best_columns(queries[at : at + 256] @ data.T, k + 1))
+            # row by row, so that a pair's score doesn't depend on its block
+            held.append((qids[at + q], ids[c], np.einsum("ij,ij->i", queries[at + q], data[c])))
+            size += len(q)
+        if size > 500_000:
+            yield merged()
+            held.clear()
+            size = 0
+    if held and size:
+        yield merged()

@@ -2,36 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-
-def dimension(df: DataFrame, vector: str) -> int:
-    """The most frequent length of non-null vectors (the larger of equals); 0 if there are none."""
-    row = df.select(F.size(vector).alias("d")).filter("d > 0").groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return row[0]["d"] if row else 0
+from textgraph.llm.common import saved
 
 
 def valid(df: DataFrame, vector: str) -> DataFrame:
-    """Rows with an id and a vector whose components are all finite numbers: vec_id, v (array of double)."""
-    v = F.col(vector).cast("array<double>")
+    """Rows with an id and a vector whose components are all finite numbers: vec_id, v (array of float or double)."""
+    kind = "array<float>" if df.schema[vector].dataType == ArrayType(FloatType(), df.schema[vector].dataType.containsNull) else "array<double>"
+    v = F.col(vector).cast(kind)
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
     return df.filter(F.col(vector).isNotNull() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter((F.size("v") > 0) & finite)
 
 
-def classes(rows: DataFrame, keep: int) -> DataFrame:
-    """One row per distinct v: class_id (the smallest vec_id), ids (the ``keep`` smallest, ascending), v.
+def by_length(rows: DataFrame, search: Callable[[DataFrame, int], DataFrame], schema: str) -> DataFrame:
+    """What a search gives for the rows of each length of v: only vectors of one length have an inner product."""
+    found = [search(rows.filter(F.size("v") == r["d"]), r["d"]) for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], schema)
+
+
+def classes(rows: DataFrame, keep: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the class of their v (class_id), and the classes of equal v: class_id, ids (the ``keep`` smallest, ascending).
 
-    The rank is bounded per task before the shuffle (window group limit), so a vector that many rows share sends
-    ``keep`` rows from each task at most.  Repeated rows count once.
+    Vectors aren't shuffled for this, only their hashes.  A class is named by a 64-bit hash; a second hash proves that
+    no two vectors of the table share a name, and else other hashes are taken.  Ranks are bounded per task before the
+    shuffle (window group limit), so a vector that many rows share sends ``keep`` rows from each task at most.
     """
-    w = Window.partitionBy("v").orderBy("vec_id")
-    some = rows.withColumn("r", F.dense_rank().over(w)).filter(F.col("r") <= keep)
-    return some.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("class_id"), "ids", "v")
+    for seed in range(1, 64):
+        named = rows.select("vec_id", F.xxhash64(F.lit(seed), "v").alias("class_id"), F.xxhash64(F.lit(-seed), "v").alias("proof"))
+        w = Window.partitionBy("class_id", "proof").orderBy("vec_id")
+        some = named.withColumn("r", F.dense_rank().over(w)).filter(F.col("r") <= keep)
+        found = saved(some.groupBy("class_id", "proof").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), f"{path}-{seed}")
+        if not found.groupBy("class_id").count().filter("count > 1").head(1):
+            return rows.withColumn("class_id", F.xxhash64(F.lit(seed), "v")), found.select("class_id", "ids")
+    raise AssertionError("64 hashes collide")
+
+
+#: Classes with copies that are broadcast, at most (16 bytes a class).
+SMALL = 200_000
+
+
+def one_of_each(keyed: DataFrame, named: DataFrame) -> DataFrame:
+    """class_id, v: the rows of the smallest id of each class (repeated rows stay; readers count a class once)."""
+    copies = named.filter(F.size("ids") > 1).select("class_id", F.element_at("ids", 1).alias("least"))
+    if copies.count() <= SMALL:
+        copies = F.broadcast(copies)
+    return keyed.join(copies, "class_id", "left").filter("least is null or least = vec_id").select("class_id", "v")
 
 
 def packed(df: DataFrame, keys: list[str], dtype: str, codes: str = "v") -> DataFrame:
