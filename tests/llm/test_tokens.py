@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textgraph.llm import token_files
+from textgraph.llm import jvm, token_files
 from textgraph.llm.packing import first_fit_decreasing, pack_documents, packing_digest
 from textgraph.llm.queries import tokenizer
 from textgraph.llm.token_files import token_ids_digest
@@ -88,11 +88,13 @@ def test_damage_is_found(spark, where):
         df.select(token_files.decoded(spark, F.col("blocks"))).collect()
 
 
-def test_segments():
-    heads = token_files.pack_heads([5, None, -3], [1, 7, 0])
-    data = token_files.segment(heads, b"blocks")
-    ids, sizes, blocks = token_files.parse_segment(data)
-    assert (ids, list(sizes), blocks) == ([5, None, -3], [1, 7, 0], b"blocks")
+def test_segments(spark):
+    ids = [5, None, -3]
+    data = token_files.segment(token_files.pack_heads(ids, [1, 7, 0]), b"blocks")
+    heads, blocks = token_files.parse_segment(data)
+    df = spark.createDataFrame([(bytearray(heads),)], "heads binary")
+    (docs,) = df.select(jvm.function(spark, "TokenCoder", "Documents", token_files._DOCUMENTS, F.col("heads"))).head()
+    assert [tuple(d) for d in docs] == [(5, 0, 1), (None, 1, 7), (-3, 8, 0)] and blocks == b"blocks"
     for bad in (data[:-1], data[:25] + b"x" + data[26:], b""):
         with pytest.raises(ValueError):
             token_files.parse_segment(bad)

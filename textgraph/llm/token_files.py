@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, StructType
 
 from textgraph.llm import files, jvm
 from textgraph.llm.common import arrow_limits, lean, saved, shuffle_parts, work_dir
@@ -38,32 +38,25 @@ def decoded(spark: SparkSession, blocks: Column) -> Column:
 
 
 def pack_heads(doc_ids: list[int | None], sizes: list[int]) -> bytes:
-    """Doc ids (64-bit integers or None) and sizes of a segment's documents."""
+    """A segment's documents: a byte each (0: no id), then their ids and their sizes as 64-bit integers, compressed."""
     known = np.array([i is not None for i in doc_ids], np.uint8)
     raw = known.tobytes() + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(sizes, "<i8").tobytes()
     return zlib.compress(raw, 1)
 
 
-def unpack_heads(heads: bytes) -> tuple[list[int | None], np.ndarray]:
-    raw = zlib.decompress(heads)
-    n = len(raw) // 17
-    known, doc_ids = np.frombuffer(raw[:n], bool), np.frombuffer(raw[n : 9 * n], "<i8")
-    return [int(i) if k else None for i, k in zip(doc_ids, known)], np.frombuffer(raw[9 * n :], "<i8")
-
-
 def segment(heads: bytes, blocks: bytes) -> bytes:
     return struct.pack("<QQI", len(heads), len(blocks), zlib.crc32(heads)) + heads + blocks
 
 
-def parse_segment(data: bytes) -> tuple[list[int | None], np.ndarray, bytes]:
-    """Doc ids, sizes and coded blocks; ValueError where the segment is damaged (blocks check themselves)."""
+def parse_segment(data: bytes) -> tuple[bytes, bytes]:
+    """Heads and coded blocks; ValueError where the segment is damaged (blocks check themselves)."""
     if len(data) < 20:
         raise ValueError("token file: segment damaged")
     n, m, crc = struct.unpack("<QQI", data[:20])
     heads = data[20 : 20 + n]
     if len(data) != 20 + n + m or zlib.crc32(heads) != crc:
         raise ValueError("token file: segment damaged")
-    return *unpack_heads(heads), data[20 + n :]
+    return zlib.decompress(heads), data[20 + n :]
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id: int = 0) -> DataFrame:
@@ -152,20 +145,19 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                (data,) = files.ranges(row["path"], [(row["at"], row["bytes"])])
-                doc_ids, sizes, blocks = parse_segment(data)
-                docs = [{"doc_id": i, "at": int(e - n), "n": int(n)} for i, e, n in zip(doc_ids, np.cumsum(sizes), sizes)]
-                yield pa.RecordBatch.from_pylist([{"start": base[row["part"]] + row["first"], "docs": docs, "blocks": blocks}], schema=_SEGMENT)
-
-    spread = manifest.select("path", "at", "bytes", "part", "first").repartition(max(1, min(sum(k for _, _, k in totals), 4 * shuffle_parts(spark))))
-    segments = spread.mapInArrow(read, "start long, docs array<struct<doc_id: long, at: long, n: long>>, blocks binary")
-    whole = segments.select("start", "docs", decoded(spark, F.col("blocks")).alias("ids"))
-    one = whole.select("start", "ids", F.explode("docs").alias("d"))
+            for path, at, size, part, first in zip(*(c.to_pylist() for c in batch.columns)):
+                (data,) = files.ranges(path, [(at, size)])
+                heads, blocks = parse_segment(data)
+                yield pa.RecordBatch.from_arrays([pa.array([base[part] + first]), pa.array([heads], pa.binary()), pa.array([blocks], pa.binary())], names=["start", "heads", "blocks"])
+
+    spread = manifest.select("path", "at", "bytes", "part", "first").repartition(max(1, min(sum(k for _, _, k in totals), shuffle_parts(spark))))
+    segments = spread.mapInArrow(read, "start long, heads binary, blocks binary")
+    documents = jvm.function(spark, "TokenCoder", "Documents", _DOCUMENTS, F.col("heads"))
+    one = segments.select("start", decoded(spark, F.col("blocks")).alias("ids"), documents.alias("docs")).select("start", "ids", F.explode("docs").alias("d"))
     return one.select("d.doc_id", (F.col("start") + F.col("d.at")).alias("start"), F.substring("ids", (4 * F.col("d.at") + 1).cast("int"), (4 * F.col("d.n")).cast("int")).alias("ids"))
 
 
-_SEGMENT = pa.schema([("start", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))), ("blocks", pa.binary())])
+_DOCUMENTS = ArrayType(StructType().add("doc_id", "long").add("at", "long").add("n", "long"))
 
 
 def token_ids_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
