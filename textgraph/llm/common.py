@@ -124,32 +124,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> np.ndarray:
     """1, b, b^2 ... modulo 2^64, n of them at least."""
     if len(_POW[0]) < n:
-        out = np.full(max(n, 1024), _BASE, np.uint64)
+        out = np.full(max(n, _CHUNK), _BASE, np.uint64)
         out[0] = 1
         _POW[0] = np.multiply.accumulate(out)
     return _POW[0]
 
 
-#: Bytes that are hashed at a time.
-_CHUNK = 1 << 20
+#: Bytes that are hashed at a time; powers of b's inverse, by which a sum over bytes at any place becomes one from 0 on.
+_CHUNK = 1 << 17
+_BACK: list[np.ndarray] = []
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]]; spans aren't empty."""
-    out = np.empty(len(starts), np.uint64)
-    lens = ends - starts
-    upto = np.cumsum(lens)
+    """64-bit hashes of data[starts[i]:ends[i]]; spans ascend, don't overlap and aren't empty."""
+    if not _BACK:
+        out = np.full(_CHUNK, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+        out[0] = 1
+        _BACK.append(np.multiply.accumulate(out))
+    out, lens = np.empty(len(starts), np.uint64), (ends - starts).astype(np.uint64)
     at = 0
     while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _CHUNK, side="right")))
-        n = lens[at:stop]
-        first = np.cumsum(n) - n
-        inside = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
-        terms = data[inside + np.repeat(starts[at:stop], n)].astype(np.uint64) + np.uint64(1)
-        terms *= powers(int(n.max()))[inside]
-        out[at:stop] = mix64(np.add.reduceat(terms, first) + n.astype(np.uint64) * _M2)
+        a = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, a + _CHUNK, side="right")))
+        b = int(ends[stop - 1])
+        terms = np.zeros(b - a + 1, np.uint64)
+        np.add(data[a:b], np.uint64(1), out=terms[:-1], casting="unsafe")
+        terms[:-1] *= powers(b - a)[: b - a]
+        edges = np.empty(2 * (stop - at), np.int64)
+        edges[0::2], edges[1::2] = starts[at:stop], ends[at:stop]
+        edges -= a
+        sums = np.add.reduceat(terms, edges)[0::2]
+        sums *= _BACK[0][np.minimum(edges[0::2], _CHUNK - 1)]  # a longer span stands alone, from 0 on
+        out[at:stop] = sums
         at = stop
-    return out
+    return mix64(out + lens * _M2)
 
 
 class Words:

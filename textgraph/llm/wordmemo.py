@@ -22,12 +22,13 @@ MEMO_WORDS = 1_000_000
 CHARS, LEARN, JOINED = 1_500_000, 16_384, 64
 MARK = "\ue000"
 
-_ALNUM, _SOLID = np.zeros(256, bool), np.zeros(256, bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_SOLID[0x21:0x7F] = True  # ASCII that is no white space
-_BLANK, _POINT = np.zeros(256, bool), np.zeros(256, bool)
-_BLANK[[0x20, 0x0A]] = True
-_POINT[[0x2C, 0x2E]] = True
+#: What a byte may be a cut behind, and what it may be a cut before: bit 0 (blanks behind ASCII that is no white space)
+#: and bit 1 (points behind ASCII letters and digits).
+_BEHIND, _BEFORE = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+_BEHIND[0x21:0x7F] |= 1
+_BEHIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] |= 2
+_BEFORE[[0x20, 0x0A]] = 1
+_BEFORE[[0x2C, 0x2E]] = 2
 
 
 def stretches(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -37,16 +38,15 @@ def stretches(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     Latin-1 block before a point.
     """
     cut = np.zeros(len(data), bool)
-    before = data[:-1]
-    blank, point = _BLANK[data[1:]], _POINT[data[1:]]
-    cut[1:] = (blank & _SOLID[before]) | (point & _ALNUM[before])
-    high = np.flatnonzero((blank | point) & (before >= 0x80)) + 1
+    may, before = _BEFORE[data[1:]], data[:-1]
+    np.not_equal(_BEHIND[before] & may, 0, out=cut[1:])
+    high = np.flatnonzero((before >= 0x80) & (may != 0)) + 1
     if len(high):
         b1, b2, b3 = (data[np.maximum(high - k, 0)] for k in (1, 2, 3))
         white = (b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
         white |= (b3 == 0xE1) & (b2 == 0x9A) | (b3 == 0xE2) & ((b2 == 0x80) | (b2 == 0x81)) | (b3 == 0xE3) & (b2 == 0x80)
         letter = (b2 == 0xC3) & (b1 != 0x97) & (b1 != 0xB7)
-        cut[high] = np.where(_BLANK[data[high]], ~white, letter)
+        cut[high] = np.where(_BEFORE[data[high]] == 1, ~white, letter)
     cut[texts[texts < len(data)]] = True
     return np.flatnonzero(cut)
 
