@@ -20,21 +20,56 @@ def distance(a, b):
 def test_match_equals_edit_distance():
     random.seed(3)
     terms = sorted({"".join(random.choice("abcd") for _ in range(random.randint(3, 15))) for _ in range(60)})
-    trie, reverse = build_trie(terms, []), build_trie([t[::-1] for t in terms], [])
+    tries = build_trie(terms, []), build_trie([t[::-1] for t in terms], []), build_trie([t for t in terms if edits_allowed(t) > 1], [])
     for _ in range(2000):
         w = list(random.choice(terms))
         for _ in range(random.randint(0, 3)):
             at, what = random.randrange(len(w) + 1), random.random()
             w[at : at + (what > 0.4)] = [random.choice("abcd")] if what < 0.7 else []
         word = "".join(w) or "a"
-        near = [(d, t) for t in terms if (d := distance(word, t)) <= edits_allowed(t) and (d <= 1 or word[:2] == t[:2] or word[-2:] == t[-2:])]
+        near = [(d, t) for t in terms if (d := distance(word, t)) <= edits_allowed(t)]
         want = (word, 0) if word in terms else min(near)[::-1] if near else None
-        assert match(word, trie, reverse) == want
+        assert match(word, *tries) == want
 
 
 def test_openings_match_all_that_begin_so():
     trie = build_trie(["scum"], ["vequ"])
-    assert match("vequisse", trie, {}) == ("vequ", 0) and match("scums", trie, build_trie(["mucs"], [])) is None
+    assert match("vequisse", trie, {}, {}) == ("vequ", 0) and match("scums", trie, build_trie(["mucs"], []), {}) is None
+
+
+def test_words_that_may_match_reach_the_automata():
+    """Every word within the allowed edits of a term, wherever these are, passes the tests before the automata."""
+    random.seed(6)
+    terms = ["".join(random.choice("abcdefgh") for _ in range(random.randint(5, 18))) for _ in range(40)]
+    words = set()
+    for _ in range(1500):
+        t = random.choice(terms)
+        w = list(t)
+        for _ in range(edits_allowed(t)):
+            at, what = random.choice([0, len(w) - 1, random.randrange(len(w))]), random.random()
+            w[at : at + (what > 0.4)] = [random.choice("abcdefghé")] if what < 0.7 else []
+        words.add("".join(w))
+    lexicon = Lexicon(terms, [])
+    lexicon.learn(Terms([" ".join(sorted(words))]))
+    hits = {h for h in lexicon.hits}
+    t = Terms([" ".join(sorted(words))])
+    assert all(int(h) in hits for h in t.hashes)
+
+
+def test_punctuation_of_any_length_is_no_part_of_a_term():
+    lexicon = Lexicon(["worthless"], [])
+    edge = "!" * 300
+    assert lexicon.features([f"so ((((((worthless{edge} now", "worthless", "!!!!!!!! ......", "", None])[:, 0].tolist()[1] > 0
+    x = lexicon.features([f"((((((worthless{edge}", "worthless", "!!!!!!!! ...... ?"])
+    assert x[0].tolist() == x[1].tolist() and not x[2].any()
+
+
+def test_sample_is_bounded_and_does_not_depend_on_the_order(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 200)
+    docs, labels = corpus(spark)
+    one = {r["doc_id"]: r["score"] for r in toxicity_query(docs.repartition(1), labels).collect()}
+    many = {r["doc_id"]: r["score"] for r in toxicity_query(docs.repartition(9), labels.repartition(5)).collect()}
+    assert one == many and len(set(one.values())) > 2
 
 
 def test_context_tells_quotation_from_abuse():

@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 from textgraph.llm.common import Words, arrow_limits, crc_of_id, lean, saved, span_hashes, work_dir
 
-#: Labelled documents that lexicon and model are fitted on, at most (chosen by a hash of their id), and lexicon entries.
-SAMPLE, ENTRIES = 20_000, 4096
+#: Labelled documents that the classifier is fitted on, at most (those of the least hashes of their ids).
+SAMPLE = 20_000
+#: Sizes of the classifier: terms and openings each, those of the most toxic documents; and clean words that look like a
+#: misspelled term, the most frequent ones.
+ENTRIES, CLEAN = 1 << 16, 1 << 18
 #: Words on either side of a match that its context is read from.
 WINDOW = 6
 #: Lengths of learned openings, and of the shortest terms that may be misspelled by one and two edits.
@@ -39,12 +42,13 @@ class Terms(Words):
 
     def __init__(self, texts: list[str | None]):
         super().__init__(texts)
-        self.outer = self.starts.copy(), self.ends.copy()
-        for _ in range(4):
-            more = (self.starts < self.ends - 1) & _EDGE[self.data[self.starts]]
-            self.starts = self.starts + more
-            less = (self.starts < self.ends - 1) & _EDGE[self.data[self.ends - 1]]
-            self.ends = self.ends - less
+        self.outer = self.starts, self.ends
+        inner, at = ~_EDGE[self.data], np.arange(len(self.data), dtype=np.int32)
+        # the next byte, from each on, that is no punctuation, and the last one up to each; one byte stays in any case
+        after = np.minimum.accumulate(np.where(inner, at, len(at))[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(inner, at, -1))
+        self.starts = np.minimum(after[self.starts], self.outer[1] - 1).astype(np.int64)
+        self.ends = np.maximum(before[self.outer[1] - 1] + 1, self.starts + 1).astype(np.int64)
         self.hashes = span_hashes(self.data, self.starts, self.ends)
 
 
@@ -64,22 +68,23 @@ def build_trie(terms: list[str], openings: list[str]) -> dict:
     return root
 
 
-def _walk(word: str, trie: dict) -> Iterator[tuple[int, str]]:
-    """Terms within the allowed edits that have the word's first two letters, and their distances.
+def _walk(word: str, trie: dict, most: int, same: int = 0) -> Iterator[tuple[int, str]]:
+    """Terms within ``most`` edits (and those allowed for them) that have the word's first ``same`` letters, and their distances.
 
     The automaton of the word has a bit for each of its positions and a set of bits for each number of edits; a
     character of the trie moves all of them at once, and a branch without bits is left.
     """
-    node = trie.get(word[0], {}).get(word[1])
-    if node is None:
-        return
-    n = len(word)
-    end, places = 1 << n, {}
+    node = trie
+    for ch in word[:same]:
+        node = node.get(ch)
+        if node is None:
+            return
+    end, places = 1 << len(word), {}
     for i, ch in enumerate(word):
         places[ch] = places.get(ch, 0) | 1 << i
-    reach = end + end - 1
-    two = n >= TWO_EDITS - 2
-    stack = [(node, 4, 12, 28)]
+    reach, at = end + end - 1, 1 << same
+    two = most > 1
+    stack = [(node, at, at | at << 1, at | at << 1 | at << 2)]
     while stack:
         node, r0, r1, r2 = stack.pop()
         for ch, below in node.items():
@@ -89,20 +94,21 @@ def _walk(word: str, trie: dict) -> Iterator[tuple[int, str]]:
             a0 = (r0 & m) << 1
             a1 = (r1 & m) << 1 | r0 | r0 << 1 | a0 << 1
             a2 = (r2 & m) << 1 | r1 | r1 << 1 | a1 << 1 if two else 0
-            if "" in below and not below[""][1] and (a1 | a2) & end:
+            if "" in below and not below[""][1] and (a0 | a1 | a2) & end:
                 term = below[""][0]
-                d = 1 if a1 & end else 2
+                d = 0 if a0 & end else 1 if a1 & end else 2
                 if d <= edits_allowed(term):
                     yield d, term
-            if (a1 | a2) & reach:
+            if (a0 | a1 | a2) & reach:
                 stack.append((below, a0, a1, a2))
 
 
-def match(word: str, trie: dict, reverse: dict) -> tuple[str, int] | None:
+def match(word: str, trie: dict, reverse: dict, long: dict) -> tuple[str, int] | None:
     """The nearest entry and its distance: an opening of the word (0), a term (0), or a misspelled term.
 
     reverse: the trie of the reversed terms.  One edit leaves the first two or the last two letters of a term as they
-    are, so walks from both ends find all terms one edit away; a match of two edits must keep them as well.
+    are, so walks from both ends find all terms one edit away.  long: the trie of terms that may have two edits, which
+    may be anywhere.
     """
     node = trie
     for ch in word:
@@ -116,14 +122,28 @@ def match(word: str, trie: dict, reverse: dict) -> tuple[str, int] | None:
             return node[""][0], 0
     if not ONE_EDIT - 1 <= len(word) <= 64:
         return None
-    found = list(_walk(word, trie))
-    found += [(d, term[::-1]) for d, term in _walk(word[::-1], reverse)]
+    found = list(_walk(word, trie, 1, 2))
+    found += [(d, term[::-1]) for d, term in _walk(word[::-1], reverse, 1, 2)]
+    if not found and len(word) >= TWO_EDITS - 2:
+        found = list(_walk(word, long, 2))
     if not found:
         return None
     d, term = min(found)
     return term, d
 
 
+def stretches_of(term: str) -> list[bytes]:
+    """The first four bytes of each third of a term: two edits leave one third as it is."""
+    n = len(term)
+    return [term[a:b].encode()[:4] for a, b in ((0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n))]
+
+
+def _fours(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 16-bit hash of the four bytes from each place on."""
+    x = data[at].astype(np.uint32) | data[at + 1].astype(np.uint32) << 8 | data[at + 2].astype(np.uint32) << 16 | data[at + 3].astype(np.uint32) << 24
+    return (x * np.uint32(0x9E3779B1)) >> np.uint32(16)
+
+
 @dataclass
 class Lexicon:
     terms: list[str]
@@ -145,6 +165,12 @@ class Lexicon:
     def start(self) -> None:
         self.trie = build_trie(self.terms, self.openings)
         self.reverse = build_trie([w[::-1] for w in self.terms], [])
+        long = [w for w in self.terms if edits_allowed(w) > 1]
+        self.long = build_trie(long, [])
+        self.parts = np.zeros(1 << 16, bool)  # of the thirds of long terms
+        for w in long:
+            for part in stretches_of(w):
+                self.parts[_fours(np.frombuffer(part, np.uint8), np.zeros(1, np.int64))] = True
         self.hits: dict[int, tuple[str, int]] = {}
         self.hit_hashes = np.empty(0, np.uint64)
         self.seen = np.empty(0, np.uint64)
@@ -155,12 +181,13 @@ class Lexicon:
         for w in self.terms:
             raw = w.encode()
             self.last[raw[-2] << 8 | raw[-1]] = True
-        self.longest = max([len(w.encode()) for w in self.terms], default=0) + 2
+        self.longest = max([len(w.encode()) for w in self.terms], default=0) + 8  # two inserted characters
 
     def learn(self, t: Terms) -> None:
-        """Matches the words that weren't seen before; a word can only match if it opens or ends like an entry.
+        """Matches the words that weren't seen before.
 
-        (One edit leaves the first or the last two letters; matches of two edits must keep them as well.)
+        A word can only match if it opens or ends like an entry (one edit leaves the first or the last two letters of a
+        term), or if a third of a long term is in it.
         """
         fresh, at = np.unique(t.hashes, return_index=True)
         if len(self.seen):
@@ -176,9 +203,15 @@ class Lexicon:
         head = (d[s].astype(np.int64) << 8) | d[np.minimum(s + 1, len(d) - 1)]
         tail = (d[np.maximum(e - 2, 0)].astype(np.int64) << 8) | d[e - 1]
         able = two & (self.first[head] | (self.last[tail] & (size <= self.longest)))
+        left = np.flatnonzero(~able & (size >= TWO_EDITS - 2) & (size <= self.longest))
+        if len(left) and self.parts.any():
+            n = size[left] - 3
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            hit = self.parts[_fours(d, np.repeat(s[left], n) + inside)]
+            able[left] = np.logical_or.reduceat(hit, np.cumsum(n) - n)
         for i in np.flatnonzero(able):
             word = d[s[i] : e[i]].tobytes().decode("utf-8", "replace")
-            found = match(word, self.trie, self.reverse)
+            found = match(word, self.trie, self.reverse, self.long)
             if found and not (found[1] and word in self.clean):
                 self.hits[int(fresh[i])] = found
         self.hit_hashes = np.sort(np.fromiter(self.hits, np.uint64, len(self.hits)))
@@ -250,14 +283,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float =
 def learn(docs: DataFrame, labels: DataFrame, folder: str) -> Lexicon:
     """Lexicon and model from labelled documents: docs (doc_id, text), labels (doc_id, toxic 0 or 1, others are ignored).
 
-    At most SAMPLE labelled documents are used, those of the smallest hashes of their ids; of labels that contradict
-    each other for one id, toxic holds.
+    At most SAMPLE labelled ids are used, those of the smallest hashes (of equal ones those of the smaller ids); all rows
+    of such an id count.  Of labels that contradict each other for one id, toxic holds.  Lists are cut by how often a word
+    occurs, of equal ones by the word.
     """
     spark = docs.sparkSession
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = marked.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    order = F.xxhash64("doc_id")
+    share = 1.2 * SAMPLE / max(marked.count(), 1)
+    chosen = marked if share >= 1 else marked.filter(F.pmod(order, F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    chosen = chosen.orderBy(F.pmod(order, F.lit(1 << 20)), "doc_id").limit(SAMPLE)  # so it may be broadcast
     sample = saved(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), f"{folder}/sample")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,14 +329,15 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str) -> Lexicon:
     shared = spark.sparkContext.broadcast(lexicon)
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, reverse = shared.value.trie, shared.value.reverse
+        own = shared.value
         for batch in batches:
-            keep = [bool((m := match(w, trie, reverse)) and m[1]) for w in batch.column(0).to_pylist()]
+            keep = [bool((m := match(w, own.trie, own.reverse, own.long)) and m[1]) for w in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     # words of clean documents that are a misspelling of a term by their letters only
-    ordinary = counts.filter((F.col("bad") < 0.5 * F.col("n")) & (size >= 4) & (size <= 64)).select("word").mapInArrow(alike, "word string")
-    lexicon = Lexicon(term_list, opening_list, frozenset(r["word"] for r in ordinary.limit(16 * ENTRIES).collect()))
+    ordinary = counts.filter((F.col("bad") < 0.5 * F.col("n")) & (size >= 4) & (size <= 64)).select("word", "n").mapInArrow(alike, "word string, n long")
+    spared = ordinary.orderBy(F.desc("n"), "word").limit(CLEAN)
+    lexicon = Lexicon(term_list, opening_list, frozenset(r["word"] for r in spared.collect()))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +345,8 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str) -> Lexicon:
             x = shared.value.features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = sample.mapInArrow(lean(measure), "toxic int, x array<double>").groupBy("x").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).collect()  # SAMPLE rows at most
+    rows = sample.mapInArrow(lean(measure), "toxic int, x array<double>").groupBy("x").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).collect()  # a row for each different document of the sample at most
+    rows.sort(key=lambda r: r["x"])  # sums don't depend on the tasks
     x = np.array([r["x"] for r in rows for _ in range(r["n"])]).reshape(-1, FEATURES)
     y = np.array([b for r in rows for b in [1.0] * r["bad"] + [0.0] * (r["n"] - r["bad"])])
     lexicon.weights, lexicon.prior = fit_logistic(x, y), rate
