@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -87,6 +88,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
         from pyspark import TaskContext
 
         part, seq, offset = TaskContext.get().partitionId(), 0, 0
+        mine = uuid.uuid4().hex  # another attempt at this part writes other files; the index names those that count
         data: list[bytes] = []
         index: list[dict] = []
 
@@ -102,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
         for batch in batches:
             for page_id, url, body, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 one = record(page_id, url, body, digest, refers_to, date)
-                index.append({"path": f"{folder}/archives/{part:06d}-{seq:05d}.warc.gz", "offset": offset, "length": len(one), "url": url, "digest": digest, "page_id": page_id, "record_type": "response" if refers_to is None else "revisit"})
+                index.append({"path": f"{folder}/archives/{part:06d}-{seq:05d}-{mine}.warc.gz", "offset": offset, "length": len(one), "url": url, "digest": digest, "page_id": page_id, "record_type": "response" if refers_to is None else "revisit"})
                 data.append(one)
                 offset += len(one)
                 if offset >= ARCHIVE_BYTES:
