@@ -29,6 +29,9 @@ TEXT_BYTES = 2 << 20
 DEPTH = 16
 #: Words of more symbols than this are relaxed one by one with a heap.
 LONG_WORD = 256
+#: Bits of an edge's key that hold its length; pieces must be shorter than all ones.
+SIZE_BITS = 10
+MOST_BYTES = (1 << SIZE_BITS) - 1
 _NONE = np.int64(1) << 40
 
 
@@ -49,6 +52,8 @@ class Pieces(Memo):
         if any(SPACE in p.lstrip(SPACE) for p in text):
             raise ValueError("a piece holds a space behind other characters: words can't be encoded on their own")
         self.raw = [p.encode() for p in text]
+        if max(map(len, self.raw), default=0) >= MOST_BYTES:
+            raise ValueError(f"a piece of {MOST_BYTES} bytes or more")
         self.ids = np.array(usable, np.int64)
         # the best score first; of equal scores the smaller id
         order = np.lexsort((self.ids, -np.array([self.sp.get_score(i) for i in usable])))
@@ -56,6 +61,10 @@ class Pieces(Memo):
         self.rank[order] = np.arange(len(usable))
         self.by_rank = self.ids[order]
         self.sizes = np.array([len(r) for r in self.raw], np.int64)
+        # what each id says when it is decoded
+        said = [b"" if self.sp.is_control(i) else " \u2047 ".encode() if self.sp.is_unknown(i) else bytes([int(self.sp.id_to_piece(i)[3:5], 16)]) if self.sp.is_byte(i) else self.sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        self.said, self.said_size = np.frombuffer(b"".join(said), np.uint8), np.array([len(x) for x in said], np.int64)
+        self.said_start = np.cumsum(self.said_size) - self.said_size
         self.bytes = {b: self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         joined, begin = np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(self.sizes) - self.sizes
         self.keys, self.top = (self._keys(joined, begin, self.sizes, fill) for fill in (0, 255))
@@ -103,7 +112,7 @@ class Pieces(Memo):
             if data[start[i] : start[i] + self.sizes[piece[i]]].tobytes() != self.raw[piece[i]]:
                 piece[i] = -1
         start, piece = start[piece >= 0], piece[piece >= 0]
-        key = (start << 6) | self.sizes[piece]
+        key = (start << SIZE_BITS) | self.sizes[piece]
         by = np.argsort(key, kind="stable")
         return key[by], self.rank[piece][by]
 
@@ -127,11 +136,11 @@ class Pieces(Memo):
 
         def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             size = b - a
-            k = (a << 6) | np.minimum(size, 63)
+            k = (a << SIZE_BITS) | np.minimum(size, MOST_BYTES)
             p = np.minimum(np.searchsorted(keys, k), len(keys) - 1) if len(keys) else np.zeros(len(k), np.int64)
             if not len(keys):
                 return np.full(len(k), _NONE)
-            return np.where((keys[p] == k) & (size < 63), ranks[p], _NONE)
+            return np.where((keys[p] == k) & (size < MOST_BYTES), ranks[p], _NONE)
 
         done_left, done_right, done_word = [], [], []
         while len(left):
@@ -227,7 +236,7 @@ class Pieces(Memo):
 
         def push(i: int) -> None:
             j = nxt[i]
-            if j < n and end[j] - start[i] < 63 and (r := rank.get(start[i] << 6 | end[j] - start[i])) is not None:
+            if j < n and end[j] - start[i] < MOST_BYTES and (r := rank.get(start[i] << SIZE_BITS | end[j] - start[i])) is not None:
                 heapq.heappush(heap, (r, i, end[j]))
 
         for i in range(n - 1):
@@ -246,13 +255,21 @@ class Pieces(Memo):
         out: list[int] = []
         for i in range(n):
             if alive[i]:
-                r = rank.get(start[i] << 6 | end[i] - start[i])
+                r = rank.get(start[i] << SIZE_BITS | end[i] - start[i])
                 out += [int(self.by_rank[r])] if r is not None else [self.bytes[c] for c in raw[start[i] : end[i]]]
         return np.array(out, np.int32)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """The texts of lists of ids: pieces joined, byte pieces as UTF-8, marks as spaces, the added first space gone."""
-        return [self.sp.decode(x.tolist()) for x in ids]
+        """The texts of lists of ids: pieces joined, byte pieces as UTF-8, marks as spaces, the added first space gone.
+
+        Control pieces are nothing; bytes that aren't UTF-8 become replacement characters.
+        """
+        flat = np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int64)
+        size = self.said_size[flat]
+        ends = np.cumsum(size)
+        data = self.said[np.arange(int(size.sum())) + np.repeat(self.said_start[flat] - ends + size, size)].tobytes()
+        cut = np.concatenate(([0], ends))[np.cumsum([0] + [len(x) for x in ids])].tolist()
+        return [data[a + (data[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
 
 
 _PIECES: dict[str, Pieces] = {}
