@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from textgraph.llm.common import arrow_limits, lean, shuffle_parts
 from textgraph.llm.wordmemo import encoder
 
-#: Bytes of text to a group of documents, on average; a group is packed in one task.
-GROUP_BYTES = 12 << 20
+#: Bytes of text to a group of documents, on average; a group is packed in one task, and a task packs many.
+GROUP_BYTES = 2 << 20
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +57,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 1,
     """Pieces of documents and their places in sequences of at most ``length`` ids.
 
     docs needs doc_id and text; other columns are ignored.  A document's ids are those of its text (null: none) and
-    end_id.  It is cut after every ``length`` ids, so all pieces but its last fill a sequence; pieces are packed by
-    first-fit decreasing within randomised groups.  Rows of equal or null doc_id are documents of their own.  An empty
-    table gives an empty result.  Returns doc_id, start, length, doc_tokens, sequence_id, offset, sequence_tokens,
+    end_id.  It is cut after every ``length`` ids, so all pieces but its last fill a sequence.  Documents are dealt at
+    random to groups, each packed by first-fit decreasing; pieces that fill a sequence are dealt one by one, so that a
+    very long document isn't one task's.  Rows of equal or null doc_id are documents of their own, and equal rows
+    without an id are dealt apart.  An empty table gives an empty result.  Returns doc_id, start, length, doc_tokens, sequence_id, offset, sequence_tokens,
     ids (uint32, little endian).
     """
     spark = docs.sparkSession
@@ -69,14 +71,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 1,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, kind)
         end = np.array([end_id], np.uint32)
+        copies: Counter[int] = Counter()  # of rows without an id, by their ids' hash
         for batch in batches:
             rows: list[tuple] = []
             for doc, got in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                ids = np.concatenate((got, end))
+                ids = np.concatenate((got, end)).astype("<u4")
+                # by what the document holds, so that a repeated task deals it to the same group
+                whole = zlib.crc32(ids.tobytes())
+                if doc is None:
+                    copies[whole] += 1
+                    salt = b"- %d" % copies[whole]
+                else:
+                    salt = b"%d" % doc
                 for start in range(0, len(ids), length):
-                    raw = ids[start : start + length].astype("<u4").tobytes()
-                    # by what the piece holds, so that a repeated task deals it to the same group
-                    group = zlib.crc32(raw, zlib.crc32(b"%d %d" % (doc or 0, start))) % groups
+                    raw = ids[start : start + length].tobytes()
+                    group = zlib.crc32(salt if len(raw) < 4 * length else salt + b" %d" % start, whole) % groups
                     rows.append((group, doc, start, len(raw) // 4, len(ids), raw))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECES.types)], schema=_PIECES)
