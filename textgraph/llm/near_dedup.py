@@ -8,6 +8,7 @@ set.  The K values an element contributes are therefore a run of the table pi.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ from textgraph.llm.common import Words, arrow_limits, lean, mix64, remove, saved
 from textgraph.llm.components import components
 
 SHINGLE = 5
-#: Coordinates (a byte each is kept) and bands of them: a pair at similarity 0.85 misses every band once in 5e5 times.
-COORDINATES, BANDS, ROWS = 256, 28, 6
+#: Coordinates (a byte each is kept), and how often a pair at the threshold may miss every band of them.
+COORDINATES, MISS = 256, 2e-6
 #: Coordinates by which the last round, which verifies all that is left, chooses pairs; only rows of shared buckets have them.
 WIDE = 1536
 UNIVERSE = 1 << 21
@@ -77,29 +78,47 @@ def sketches(sets: list[np.ndarray], width: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """[set, BANDS] 64-bit keys; equal exactly if all bytes of the band are."""
-    part = sketch[:, : BANDS * ROWS].reshape(len(sketch), BANDS, ROWS).astype(np.uint64)
+def equal_share(similarity: float) -> float:
+    """How many coordinates of two sets are equal, on average (a byte agrees by chance once in 256 times)."""
+    return similarity + (1 - similarity) / 256
+
+
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands, and coordinates of each, for which a pair at this similarity shares no band MISS times or less.
+
+    28 bands of 6 at 85 %, 33 of 5 at 80 %: bands as long as a third of such pairs still agrees in each.
+    """
+    p = equal_share(percent / 100)
+    rows = max(1, int(math.log(0.32) / math.log(p))) if p < 1 else 8
+    bands = math.ceil(math.log(MISS) / math.log(1 - p**rows)) if p < 1 else 1
+    return min(bands, COORDINATES // rows), rows
+
+
+def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """[set, bands] 64-bit keys; those of one band are equal if (and, but for hash collisions, only if) its bytes are."""
+    part = sketch[:, : bands * rows].reshape(len(sketch), bands, rows).astype(np.uint64)
     key = np.zeros(part.shape[:2], np.uint64)
-    for j in range(ROWS):
+    for j in range(rows):
+        if j % 7 == 6:
+            key = mix64(key)
         key = (key << np.uint64(8)) | part[:, :, j]
-    return mix64((key << np.uint64(8)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return mix64((key << np.uint64(8)) | np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def least_match(similarity: float, width: int) -> int:
     """Equal coordinates below which a pair isn't verified: 5 standard deviations under those of ``similarity``."""
-    p = similarity + (1 - similarity) / 256
+    p = equal_share(similarity)
     return int(width * (p - 5 * (p * (1 - p) / width) ** 0.5))
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first band in which the rows of a and b agree."""
-    same = (a[:, : BANDS * ROWS] == b[:, : BANDS * ROWS]).reshape(len(a), BANDS, ROWS).all(axis=2)
-    return same.argmax(axis=1)
+def _from_first(a: np.ndarray, b: np.ndarray, key, bands: int, rows: int) -> np.ndarray:
+    """Whether key is that of the first band in which the rows of a and b agree."""
+    same = (a[:, : bands * rows] == b[:, : bands * rows]).reshape(len(a), bands, rows).all(axis=2)
+    return band_keys(a, bands, rows)[np.arange(len(a)), same.argmax(axis=1)] == key
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the shingle set), digest (of the set; null if empty), sketch."""
+    """doc_id, of (hash of the text), n (size of the shingle set), digest (of the set; null if empty), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,22 +130,22 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                     first.setdefault(d, i)
             own = list(first.values())  # equal sets of a batch are sketched once
             rows = {i: r.tobytes() for i, r in zip(own, sketches([sets[i] for i in own]))}
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([None if d is None else rows[first[d]] for d in digest], pa.binary())], names=["doc_id", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([None if d is None else rows[first[d]] for d in digest], pa.binary())], names=["doc_id", "of", "n", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n long, digest binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of")).mapInArrow(lean(run), "doc_id long, of long, n long, digest binary, sketch binary")
 
 
-def _band_rows(reps: DataFrame) -> DataFrame:
+def _band_rows(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 sk = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-                yield pa.RecordBatch.from_arrays([pa.array(band_keys(sk).reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], names=["band", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(sk, bands, rows).reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))], names=["band", "rep"])
 
     return reps.select("rep", "sketch").mapInArrow(run, "band long, rep long")
 
 
-def _bucket_pairs(least: int, width: int, partners: int | None):
+def _bucket_pairs(least: int, width: int, partners: int | None, bands: int, rows: int):
     """Pairs of rows of a bucket, from different components, that agree in ``least`` coordinates and more."""
 
     def of(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sk: np.ndarray, cross: bool, key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +171,7 @@ def _bucket_pairs(least: int, width: int, partners: int | None):
             keep = a < b
             a, b = a[keep], b[keep]
         if len(a):  # a pair that shares several buckets comes from the first of them
-            mine = band_keys(sk[a])[np.arange(len(a)), _first_shared(sk[a], sk[b])] == key
+            mine = _from_first(sk[a], sk[b], key, bands, rows)
             a, b = a[mine], b[mine]
         return a, b
 
@@ -169,7 +188,7 @@ def _bucket_pairs(least: int, width: int, partners: int | None):
                 a, b = two, two + 1
                 ok = ((sk[a] == sk[b]).sum(axis=1) >= least) & (comp[a] != comp[b])
                 a, b = a[ok], b[ok]
-                first = band_keys(sk[a])[np.arange(len(a)), _first_shared(sk[a], sk[b])] == key[a] if len(a) else np.zeros(0, bool)
+                first = _from_first(sk[a], sk[b], key[a], bands, rows) if len(a) else np.zeros(0, bool)
                 xs.append(rep[a[first]])
                 ys.append(rep[b[first]])
             for s, n in zip(start[(size > 2) | ((size == 2) & (i[start] != j[start]))], size[(size > 2) | ((size == 2) & (i[start] != j[start]))]):
@@ -243,9 +262,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     so is a row without doc_id, whose component is null and which is kept.  Documents with equal sets are one class
     and are compared once; rows of equal doc_id are documents of their own.  An empty table gives an empty result.
     """
+    found = near_groups(docs, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_groups(docs: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates() with what tells rows and components of repeated ids apart.
+
+    doc_id, of (xxhash64 of the row's text), n_shingles, component_id, group: a name of the component that no other has;
+    null for rows without words or id.
+    """
     spark = docs.sparkSession
     arrow_limits(spark)
     folder, parts = work_dir(spark, "near-dedup"), shuffle_parts(spark)
+    by = bands_for(percent)
     sketched = saved(sketch_table(docs), f"{folder}/sketches")
     usable = sketched.filter("digest is not null and doc_id is not null")
     reps = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), f"{folder}/classes")
@@ -253,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     node = F.xxhash64("digest")
     first = usable.join(reps, "digest").filter("doc_id = rep").dropDuplicates(["digest"]).select(node.alias("node"), "rep", "digest", "sketch")
     nodes = saved(first, f"{folder}/nodes")
-    bands = saved(_band_rows(nodes.select(F.col("node").alias("rep"), "sketch")), f"{folder}/bands")
+    bands = saved(_band_rows(nodes.select(F.col("node").alias("rep"), "sketch"), *by), f"{folder}/bands")
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     members = saved(bands.join(sizes, "band"), f"{folder}/members")
     remove(spark, f"{folder}/bands")
@@ -276,23 +306,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         dealt = rows_now.withColumn("side", own).withColumn("other", F.explode(others)).join(sketch_of if partners else sets.select("rep", F.col("wide").alias("sketch")), "rep")
         dealt = dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "comp", "sketch")
         dealt = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-        pairs = dealt.mapInArrow(lean(_bucket_pairs(least_match(percent / 100, width), width, partners)), "x long, y long").distinct()
+        pairs = dealt.mapInArrow(lean(_bucket_pairs(least_match(percent / 100, width), width, partners, *by)), "x long, y long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = saved(pairs, f"{folder}/pairs{r}")
         if not pairs.head(1):
-            break
+            continue  # pairs that a round holds back are left to the next
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = saved(_verified(pairs, sets, percent), f"{folder}/links{r}")
         links = new if links is None else links.unionByName(new)
         comp = components(links, f"{folder}/components{r}")
-    joined = sketched.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(reps, "digest", "left")
-    joined = joined.withColumn("node", node)
+    joined = sketched.select("doc_id", "of", F.col("n").alias("n_shingles"), "digest").join(reps, "digest", "left").withColumn("node", F.when(F.col("rep").isNotNull(), node))
     if comp is not None:
         label = comp.join(compared.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("least"))
-        named = comp.join(label, "comp").select("node", "least")
-        joined = joined.join(named, "node", "left")
+        joined = joined.join(comp.join(label, "comp").select("node", "comp", "least"), "node", "left")
     else:
-        joined = joined.withColumn("least", F.lit(None).cast("long"))
-    out = joined.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        joined = joined.withColumns({"comp": F.lit(None).cast("long"), "least": F.lit(None).cast("long")})
+    known = F.col("doc_id").isNotNull()
+    return joined.select("doc_id", "of", "n_shingles", F.when(known, F.coalesce("least", "rep", "doc_id")).alias("component_id"), F.when(known, F.coalesce("comp", "node")).alias("group"))
