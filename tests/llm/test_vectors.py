@@ -74,6 +74,43 @@ def test_nearest_recall_and_scores(spark):
         assert abs(s - float(np.dot(vectors[q], vectors[c]))) < 1e-9
 
 
+def test_vectors_of_each_length_are_compared_with_their_like(spark):
+    data = [(0, [1.0, 2.0]), (1, [3.0, 4.0]), (50, [1.0, 0.0, 2.0]), (51, [1.0, 1.0, 1.0]), (100, [9.0])]
+    want = [(0, 1, 1, 11), (50, 1, 51, 3)]
+    assert sorted(tuple(r) for r in va_topk.exact_top_k(frame(spark, data), F.col("vec_id") % 50 == 0, 5).collect()) == want
+    assert sorted(tuple(r) for r in spann.nearest(frame(spark, data), F.col("vec_id") % 50 == 0, 5).collect()) == want
+
+
+def test_one_id_with_two_vectors(spark):
+    data = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0])]
+    want = [(0, 1, 1, 3), (0, 2, 1, 2), (0, 3, 2, 2)]
+    assert sorted(tuple(r) for r in va_topk.exact_top_k(frame(spark, data), F.col("vec_id") == 0, 5).collect()) == want
+    assert sorted(tuple(r) for r in spann.nearest(frame(spark, data), F.col("vec_id") == 0, 5).collect()) == want
+
+
+def test_lists_at_50000_vectors():
+    """Recall, replicas and the share of vectors that a query reads, for clustered vectors of a real index size."""
+    rng = np.random.default_rng(6)
+    n, d, k = 50_000, 32, 20
+    centres = rng.normal(size=(400, d))
+    x = (centres[rng.integers(0, 400, n)] + 0.35 * rng.normal(size=(n, d))).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = spann.fit(x[rng.permutation(n)[: spann.SAMPLE]], n, 1.0, k)
+    row, at = index.assign(x)
+    lists = len(index.centroids)
+    sizes = np.bincount(at, minlength=lists)
+    queries = rng.permutation(n)[:200]
+    q, read = index.lists_of(x[queries])
+    best = np.argsort(-(x[queries] @ x.T), axis=1)[:, : k + 1]
+    found = 0
+    for i in range(len(queries)):
+        held = np.isin(at, read[q == i])
+        found += np.isin(best[i], row[held]).sum()
+    replicas, scanned = len(row) / n, sizes[read].sum() / len(queries) / n
+    assert lists == round(n / spann.LIST_ROWS) and replicas < 3 and sizes.max() < 12 * n / lists
+    assert found / best.size >= 0.9 and scanned < 0.25, (found / best.size, replicas, scanned)
+
+
 def test_nearest_falls_back_to_all_rows(spark):
     data = [(i, [float(i), 1.0]) for i in range(30)]
     got = [tuple(r) for r in spann.nearest(frame(spark, data), F.col("vec_id") == 20, 29).collect()]
