@@ -261,40 +261,72 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = saved(document_pairs(docs, min_words, folder), f"{folder}/pairs").filter("first < doc")
     remove(spark, *(f"{folder}/{x}" for x in ("marks", "shared", "stretches")))
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    earlier = saved(pairs.join(rows.withColumnsRenamed({"doc_id": "first", "text": "first_text"}), "first"), f"{folder}/earlier").filter("first < doc")
-    later = rows.withColumnRenamed("doc_id", "doc").join(pairs.select("doc"), "doc", "left_semi")  # few texts reach the shuffle
-    both = earlier.join(later, "doc").withColumn("of", F.xxhash64("text"))
-    both = both.select("doc", "of", "first", "text", "first_text").repartition(shuffle_parts(spark), "doc", "of").sortWithinPartitions("doc", "of", "first")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, text, lines, spans, sources = None, "", None, [], []
-
-        def result() -> list[dict]:
-            if not spans:
-                return []
-            cut = merged(spans)
-            return [{"doc_id": key[0], "of": key[1], "removed_words": sum(b - a for a, b in cut), "sources": sorted(set(sources)), "text": without(text, cut)}]
+    found = saved(_aligned(pairs, rows, min_words), f"{folder}/spans")
+    spans = found.groupBy("doc_id", "of").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("source")).alias("sources"))
+    whole = rows.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("of", F.xxhash64("text")).dropDuplicates(["doc_id", "of"])
+    cut = whole.join(spans, ["doc_id", "of"]).select("doc_id", "of", "sources", "spans", "text")
 
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if (row["doc"], row["of"]) != key:
-                    out += result()
-                    key, text, spans, sources = (row["doc"], row["of"]), row["text"], [], []
-                    lines = Lines([text])
-                found = shared_blocks(lines, 0, Lines([row["first_text"]]), 0, min_words)
-                if found:
-                    spans += found
-                    sources.append(row["first"])
+                gone = merged([(x["a"], x["b"]) for x in row["spans"]])
+                out.append({"doc_id": row["doc_id"], "of": row["of"], "removed_words": sum(b - a for a, b in gone), "sources": row["sources"], "text": without(row["text"], gone)})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_CUT)
-        if out := result():
-            yield pa.RecordBatch.from_pylist(out, schema=_CUT)
 
-    return saved(both.mapInArrow(lean(align), "doc_id long, of long, removed_words long, sources array<long>, text string"), f"{folder}/cut")
+    return saved(cut.mapInArrow(lean(delete), "doc_id long, of long, removed_words long, sources array<long>, text string"), f"{folder}/cut")
 
 
 _CUT = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("removed_words", pa.int64()), ("sources", pa.list_(pa.int64())), ("text", pa.string())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("source", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+#: Pairs of a document that one task aligns, about.
+GROUP_PAIRS = 4096
+
+
+def _aligned(pairs: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, of, source, spans: what the alignment of each pair (doc, first) finds in the later document.
+
+    Of each pair, the document that is in more pairs is sent once, to the tasks of its pairs, and the other to it.  So a
+    passage that many documents share doesn't copy its first document for each, nor a compilation itself for each source.
+    """
+    spark = pairs.sparkSession
+    in_first = pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    in_doc = pairs.groupBy("doc").agg(F.count(F.lit(1)).alias("m"))
+    by_first = F.col("n") >= F.col("m")
+    met = pairs.join(in_first, "first").join(in_doc, "doc")
+    met = met.select(F.when(by_first, F.col("first")).otherwise(F.col("doc")).alias("own"), F.when(by_first, F.col("doc")).otherwise(F.col("first")).alias("other"), F.ceil(F.greatest("n", "m") / GROUP_PAIRS).cast("int").alias("parts"))
+    texts = rows.withColumn("of", F.xxhash64("text")).select("doc_id", "of", "text")
+    owners = met.select("own", "parts").distinct()
+    once = texts.join(owners.select(F.col("own").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "of"])
+    held = once.join(owners.withColumnRenamed("own", "doc_id"), "doc_id").select(F.col("doc_id").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("other"), "of", "text")
+    sent = texts.join(met.select("own", "parts", F.col("other").alias("doc_id")), "doc_id").select("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), F.col("doc_id").alias("other"), "of", "text")
+    both = held.unionByName(sent).repartition(shuffle_parts(spark), "own", "part").sortWithinPartitions("own", "part", F.col("other").asc_nulls_first(), "of")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mine, last = None, [], None
+        for batch in batches:
+            out = []
+            for own, part, other, of, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (own, part) != key:
+                    key, mine, last = (own, part), [], None
+                if other is None:
+                    if all(of != x for x, _ in mine):
+                        mine.append((of, Lines([text])))
+                    continue
+                if (other, of) == last:  # a repeated row
+                    continue
+                last = (other, of)
+                lines = Lines([text])
+                for own_of, own_lines in mine:
+                    (doc, doc_of, later), (first, _, earlier) = sorted(((own, own_of, own_lines), (other, of, lines)), key=lambda x: -x[0])
+                    spans = shared_blocks(later, 0, earlier, 0, min_words)
+                    if spans:
+                        out.append({"doc_id": doc, "of": doc_of, "source": first, "spans": [{"a": int(a), "b": int(b)} for a, b in spans]})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_SPANS)
+
+    return both.mapInArrow(lean(align), "doc_id long, of long, source long, spans array<struct<a: int, b: int>>")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
