@@ -166,26 +166,88 @@ def test_store_functions(spark):
 
 
 def test_weave(spark):
-    lines = links.file_lines(files(spark, ("/x/src/f.rs", "// @region a\n//| Why.\n\nfn f() {}  \n\n// @end a\n// @region b\n// @end b")))
-    r = spark.createDataFrame([("/x/src/f.rs", "a", 1, 6, "Why."), ("/x/src/f.rs", "b", 7, 8, None)], "file string, name string, start_line int, end_line int, prose string")
-    stats = spark.createDataFrame([(1, 2, 2, 1)], "nodes long, edges long, regions long, with_prose long")
-    t = links.file_lines(files(spark, ("t", "# T\n  {{prose:a}}\n{{code:a}}\n{{region:a}}\n{{region:zz}}\n{{stats}}\n{{what:x}}\n{{prose}}\n```\n{{stats}}\n{{code:a}}\n```\nkeep {{stats}} inline\n{{index}}\n{{file:/x/src/f.rs}}\n{{file:/none}}")))
-    doc = weave.expand(t, lines, r, stats).head()["document"]
-    code = "```rust\nfn f() {}\n```"
-    assert doc == "\n".join(["# T", "  Why.", code, "Why.\n\n" + code, "[region not found: zz]", "1 nodes, 2 edges, 2 regions (1 with prose)", "[unknown directive: what]", "[prose needs an argument]", "```", "% [region not found: None]", "fn f() {}", "```", "keep {{stats}} inline", "| Region | File | Lines | Prose |\n|---|---|---|---|\n| a | f.rs | 1-6 | 4 ch |\n| b | f.rs | 7-8 | — |", "```rust\n//| Why.\n\nfn f() {}\n```", "[file not found: /none]"])
+    lines = links.file_lines(files(spark, ("/x/src/f.rs", "// @region a\n//| Why.\n\nfn f() {}  \n\n  g()\n\n// @end a\n// @region b\n// @end b")))
+    r = spark.createDataFrame([("/x/src/f.rs", "a", 1, 8, "Why."), ("/x/src/f.rs", "b", 9, 10, None), ("/gone.py", "c", 1, 2, "")], "file string, name string, start_line int, end_line int, prose string")
+    stats = spark.createDataFrame([(1, 2, 3, 1)], "nodes long, edges long, regions long, with_prose long")
+    template = [
+        ("# T", "# T"),
+        ("  {{prose:a}}", "  Why.\n  "),
+        ("{{code:a}}", "```rust\nfn f() {}\n\n  g()\n```"),
+        (" {{region:a}}", " Why.\n \n ```rust\n fn f() {}\n \n   g()\n ```"),
+        ("{{region:zz}}", "*[region not found: zz]*"),
+        ("{{code:b}}", "*[source file not found: /x/src/f.rs]*"),
+        ("{{code:c}}", "*[source file not found: /gone.py]*"),
+        ("{{region:c}}", ""),
+        ("{{prose:b}}", ""),
+        ("{{stats}}", "**1** files · **2** edges · **3** regions · **1** with prose"),
+        ("{{what:x}}", "*[unknown directive: what:x]*"),
+        ("{{what}}", "*[unknown directive: what:]*"),
+        ("{{prose}}", "*[missing region name in {{prose}}]*"),
+        ("{{file}}", "*[missing path in {{file:}}]*"),
+        ("```abc", "```abc"),
+        ("{{stats}}", "% [region not found: None]"),
+        ("\t{{prose:a}}", "\tfn f() {}\n\t\n\t  g()"),
+        ("{{code:b}}", "% [source not found: b]"),
+        ("{{code:q}}", "% [region not found: q]"),
+        ("```", "```"),
+        ("keep {{stats}} inline", "keep {{stats}} inline"),
+        ("{{index}}", "| File | Region | Lines | Prose |\n|------|--------|-------|-------|\n| `gone.py` | `c` | 1–2 | — |\n| `f.rs` | `a` | 1–8 | 4 ch |\n| `f.rs` | `b` | 9–10 | — |"),
+        ("{{file:/x/src/f.rs}}", "//| Why.\n\nfn f() {}\n\n  g()\n"),
+        ("{{file:/none}}", "*[file not found: /none]*"),
+        ("", ""),
+    ]
+    t = weave.template_lines(files(spark, ("t", "\n".join(x for x, _ in template)), ("u", "no directive\n")))
+    docs = {d["path"]: d["document"] for d in weave.expand(t, lines, r, stats).collect()}
+    assert docs["t"] == "\n".join(x for _, x in template) and docs["u"] == "no directive\n"
+    none = weave.expand(weave.template_lines(files(spark, ("t", "{{index}}"))), lines, r.limit(0), stats).head()["document"]
+    assert none == "| File | Region | Lines | Prose |\n|------|--------|-------|-------|"
+
+
+def test_literate(spark):
+    lines = links.file_lines(files(spark, ("/r/sub/f.py", "# @region a\n#| Why.\nx = 1  \n\n# @end a\n# @region b\n# @end b")))
+    r = spark.createDataFrame([("/r/sub/f.py", "a", 1, 5, " Why. "), ("/r/sub/f.py", "b", 6, 7, None)], "file string, name string, start_line int, end_line int, prose string")
+    e = spark.createDataFrame([("/r/sub/f.py", "/r/z.md", "x"), ("/r/sub/f.py", "/far/away/in/a.md", None), ("/r/sub/f.py", "/far/away/in/a.md", None)], "source string, target string, fragment string")
+    page = weave.literate(r, weave.region_code(r, lines, loose=True), e, ["/q", "/r"]).head()["document"]
+    assert page == "# sub/f.py\n\n*Connects to:* `…/away/in/a.md`, `…/away/in/a.md`, `z.md#x`\n\n---\n\n## a\n\nWhy.\n\n```python\nx = 1\n```\n\n## b\n\n"
+    assert weave.literate(r, weave.region_code(r, lines, loose=True), e.limit(0), []).head()["document"].startswith("# …/r/sub/f.py\n\n---\n\n## a")
+
+
+def test_fence_languages(spark):
+    names = {"/a.RS": "rust", "/a.abc": "abc", "/a.sc": "", "/a.md": "", "/.py": "", "/d.py/x": "", "/a.b.yml": "yaml"}
+    df = spark.createDataFrame([(k,) for k in names], "p string").select("p", registry.fence(F.col("p"), registry.WEAVE_FENCES).alias("f"))
+    assert {r["p"]: r["f"] for r in df.collect()} == names
+    assert spark.range(1).select(registry.fence(F.lit("/a.abc"), registry.LITERATE_FENCES)).head()[0] == ""
+
+
+@pytest.mark.parametrize(
+    "rest,want",
+    [
+        ('news "two words" ~hidden !x #note last', ["news", "two words", "last"]),
+        ('~"Name" x', ["Name", "x"]),
+        ('#"x" "#y"', ["x", "#y"]),
+        ('"~x" "!y" a', ["a"]),
+        ('a "open end', ["a"]),
+        ('ab"c d"e f', ["c d", "e", "f"]),
+        ('"" a', ["", "a"]),
+        ("a\tb  c ", ["a", "b", "c"]),
+        ("", []),
+        ('"', []),
+    ],
+)
+def test_tags(spark, rest, want):
+    assert list(spark.range(1).select(bookmark.tags(F.lit(rest))).head()[0]) == want
 
 
 def test_bookmark_columns(spark):
     row = spark.range(1).select(
         bookmark.slug(F.lit("  Héllo, World! " + "x" * 100)).alias("slug"),
-        bookmark.tags(F.lit('news "two words" ~hidden !x #note ~"Name" last')).alias("tags"),
         bookmark.title_text(F.lit('say "hi"')).alias("title"),
         bookmark.title_text(F.lit("")).alias("none"),
         bookmark.tags_yaml(F.array(F.lit("a"), F.lit("b"))).alias("yaml"),
         bookmark.page_text(F.lit("<p>a <b>b</b></p><script>x</script>")).alias("text"),
     ).head()
     assert row["slug"].startswith("h-llo-world-x") and len(row["slug"]) == 80
-    assert (list(row["tags"]), row["title"], row["none"], row["yaml"], row["text"]) == (["news", "two words", "last"], 'say \\"hi\\"', "Untitled bookmark", '["a", "b"]', "a b")
+    assert (row["title"], row["none"], row["yaml"], row["text"]) == ('say \\"hi\\"', "Untitled bookmark", '["a", "b"]', "a b")
 
 
 def test_bookmark_files(spark, tmp_path):
@@ -194,8 +256,27 @@ def test_bookmark_files(spark, tmp_path):
     assert [open(p, encoding="utf-8").read() for p in written] == ["one", "två"] and len(list(tmp_path.rglob("*.*"))) == 2
 
 
-def test_markup_and_blocks(spark):
-    one = spark.range(1).select(weave.inline_markup(F.lit("a <b> `c` **d** *e*"))).head()[0]
-    assert one == "a &lt;b&gt; <code>c</code> <b>d</b> <i>e</i>"
-    t = links.file_lines(files(spark, ("t", "# h\n## h\n### h\n---\n```\n# no\n```\n{{stats}}\n\ntext")))
-    assert [r["block"] for r in weave.blocks(t).orderBy("line_no").collect()] == ["h1", "h2", "h3", "hr", "code", "code", "code", "directive", "blank", "para"]
+def test_markup(spark):
+    one = spark.range(1).select(weave.inline_markup(F.lit("a <b> `c` **d** *e* ** f"))).head()[0]
+    assert one == 'a &lt;b&gt; <font face="Courier" size="9">c</font> <b>d</b> <i>e</i> ** f'
+
+
+def test_blocks(spark):
+    content = "# h \n## h\n### h3\n---\n  ***\n```rust\n# no\n\n  x\n```\none\n  two\n{{stats}}\n{{code: a b}}\n\n----\n#### four\n#tag\nthree\n```\nopen\n"
+    got = [tuple(r)[2:] for r in weave.blocks(weave.template_lines(files(spark, ("t", content)))).orderBy("block_no").collect()]
+    assert got == [
+        (1, "h1", None, "h"),
+        (2, "h2", None, "h"),
+        (3, "h3", None, "h3"),
+        (4, "hr", None, None),
+        (5, "hr", None, None),
+        (6, "code", "rust", "# no\n\n  x"),
+        (11, "para", None, "one two"),
+        (13, "directive", "stats", None),
+        (14, "directive", "code", " a b"),
+        (16, "para", None, "----"),
+        (17, "para", None, "#### four"),
+        (18, "para", None, "#tag"),
+        (19, "para", None, "three"),
+        (20, "code", "", "open\n"),
+    ]

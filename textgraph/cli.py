@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +41,11 @@ def unstop(directory: str, names: discover.Names = discover.Names()) -> int:
 
 
 def _rows(title: str, df: DataFrame) -> str:
-    return "\n".join([f"## {title}", *("- " + " | ".join("" if v is None else str(v) for v in r) for r in df.collect()), ""])
+    return "\n".join([f"## {title}", *("- " + " | ".join("" if v is None else str(v) for v in r) for r in df.toLocalIterator()), ""])
 
 
 def overview(db: Store) -> str:
-    """The graph in brief; every section is bounded or one line per root."""
+    """The graph in brief: a line per root and per file with regions, other sections are bounded."""
     t = db.tables()
     sections = [
         ("Counts", graph.table_counts(t["nodes"], t["edges"], t["regions"], t["roots"])),
@@ -52,7 +53,7 @@ def overview(db: Store) -> str:
         ("References", graph.refs_per_root(t["roots"], t["refs"]).orderBy("path")),
         ("Hubs", graph.hubs(t["edges"])),
         ("Orphans", graph.orphans(t["nodes"], t["edges"])),
-        ("Regions", graph.region_summary(t["regions"]).orderBy("file").limit(200)),
+        ("Regions", graph.region_summary(t["regions"]).orderBy("file")),
         ("Recent", graph.recent(t["changelog"])),
     ]
     return "\n".join(_rows(n, df) for n, df in sections)
@@ -75,9 +76,8 @@ def node_page(db: Store, query: str) -> str | None:
     return "\n".join(_rows(n, df) for n, df in sections)
 
 
-def _sources(spark: SparkSession, db: Store) -> DataFrame:
-    """Lines of the files that have regions, as they are now."""
-    paths = [r["file"] for r in db.table("regions").select("file").distinct().collect()]
+def _sources(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of these files, as they are now; those that can't be read are left out."""
     rows = []
     for p in paths:
         try:
@@ -91,16 +91,27 @@ def _sources(spark: SparkSession, db: Store) -> DataFrame:
 def woven(spark: SparkSession, db: Store, template: str) -> str:
     t = db.tables()
     with open(template, encoding="utf-8") as f:
-        lines = file_lines(spark.createDataFrame([(template, f.read())], "path string, content string"))
-    out = weave.expand(lines, _sources(spark, db), t["regions"], graph.weave_stats(t["nodes"], t["edges"], t["regions"])).head(1)
+        content = f.read()
+    lines = weave.template_lines(spark.createDataFrame([(template, content)], "path string, content string"))
+    # only what the template names is read
+    asked = {m.group(3) for line in content.split("\n") if (m := re.match(weave.DIRECTIVE, line)) and m.group(3)}
+    named = {r["file"] for r in t["regions"].filter(F.col("name").isin(*asked)).select("file").distinct().collect()} if asked else set()
+    out = weave.expand(lines, _sources(spark, sorted(named | asked)), t["regions"], graph.weave_stats(t["nodes"], t["edges"], t["regions"])).head(1)
     return out[0]["document"] if out else ""
 
 
 def literate(spark: SparkSession, db: Store, path: str) -> str | None:
+    """The literate page of a file, by its path or a part that one file has; None if it isn't there."""
     t = db.tables()
-    mine = t["regions"].filter(F.col("file") == path)
-    out = weave.literate(mine, weave.region_code(mine, _sources(spark, db), loose=True), t["edges"]).head(1)
-    return out[0]["document"] if out else None
+    hits = [r["path"] for r in graph.resolve(t["nodes"], path).orderBy("rank").collect()]
+    if len(hits) != 1:
+        return None
+    roots = [r["path"] for r in t["roots"].orderBy("path").collect()]
+    mine = t["regions"].filter(F.col("file") == hits[0])
+    out = weave.literate(mine, weave.region_code(mine, _sources(spark, hits), loose=True), t["edges"].filter(F.col("source") == hits[0]), roots).head(1)
+    if out:
+        return out[0]["document"]
+    return spark.range(1).select(weave.page_head(F.lit(hits[0]), roots)).head()[0] + "*No regions found in this file.*\n"
 
 
 def main(argv: list[str] | None = None) -> int:

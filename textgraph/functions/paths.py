@@ -42,6 +42,14 @@ def short_tail(path: Column) -> Column:
     return F.when(F.size(parts) > 3, F.concat(F.lit("…/"), F.array_join(F.slice(parts, -3, 3), "/"))).otherwise(path)
 
 
+def short_path(path: Column, roots: list[str]) -> Column:
+    """What follows the first root that begins the path as a text, without slashes at its front; else its short tail."""
+    if not roots:
+        return short_tail(path)
+    first = F.get(F.filter(F.array(*[F.lit(r) for r in roots]), lambda r: path.startswith(r)), F.lit(0))
+    return F.coalesce(F.regexp_replace(F.substring(path, F.length(first) + 1, F.lit(1 << 30)), "^/+", ""), short_tail(path))
+
+
 def short_source(path: Column) -> Column:
     """What follows the last "/src/", else the file's name."""
     return F.when(path.contains("/src/"), F.substring_index(path, "/src/", -1)).otherwise(base_name(path))

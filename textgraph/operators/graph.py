@@ -107,10 +107,13 @@ def node_attributes(attributes: DataFrame, path: str) -> DataFrame:
 
 def short_paths(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """path and what is shown for it: below the first root (by path) that its text starts with, else its last parts."""
-    hit = nodes.select("path").join(F.broadcast(roots.select(F.col("path").alias("r"), "name")), F.startswith("path", F.col("r")), "left")
-    first = hit.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("r"))).filter("n = 1")
-    below = F.concat("name", F.substring("path", F.length("r") + 1, F.lit(1 << 30)))
-    return first.select("path", F.coalesce(below, paths.short_tail(F.col("path"))).alias("short"))
+    lengths = sorted(r["n"] for r in roots.select(F.length("path").alias("n")).distinct().collect())  # lengths of paths: few
+    named = roots.select(F.col("path").alias("r"), "name")
+    # the beginnings that may be roots, so that the join has a key
+    begins = nodes.select("path", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).select("path", F.left("path", F.col("n")).alias("r"))
+    first = begins.join(named, "r").groupBy("path").agg(F.min(F.struct("r", "name")).alias("f"))
+    below = F.concat("f.name", F.substring(F.col("path"), F.length("f.r") + 1, F.lit(1 << 30)))
+    return nodes.select("path").distinct().join(first, "path", "left").select("path", F.coalesce(below, paths.short_tail(F.col("path"))).alias("short"))
 
 
 def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

@@ -92,4 +92,6 @@ def edges(found: DataFrame, home: str) -> DataFrame:
 
 def insert_edges(found: DataFrame) -> DataFrame:
     """Edges as a table keeps them: one per source, target and fragment, but all of those without a fragment."""
-    return found.filter("fragment is not null").dropDuplicates(["source", "target", "fragment"]).unionByName(found.filter("fragment is null"))
+    times = F.when(F.col("fragment").isNull(), F.col("n")).otherwise(F.lit(1))
+    counted = found.groupBy("source", "target", "fragment").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return counted.select("source", "target", "fragment", F.explode(F.sequence(F.lit(1), times)).alias("n")).drop("n")

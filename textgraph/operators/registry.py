@@ -30,8 +30,9 @@ EXTRACTORS = (
     Extractor("javascript", (".js", ".ts", ".jsx", ".tsx"), "//", ("/*", "*/")),
     Extractor("abc", (".abc",), "%"),
 )
-#: Names of fenced code languages by ending.
-FENCES = {".rs": "rust", ".py": "python", ".cpp": "cpp", ".hpp": "cpp", ".c": "c", ".h": "c", ".js": "javascript", ".ts": "typescript", ".sh": "bash", ".lua": "lua", ".scd": "supercollider", ".sc": "supercollider", ".abc": "abc", ".md": "markdown", ".yaml": "yaml", ".yml": "yaml"}
+#: Names of fenced code languages by ending, on literate pages and in woven documents.
+LITERATE_FENCES = {".rs": "rust", ".py": "python", ".cpp": "cpp", ".c": "c", ".h": "c", ".hpp": "cpp", ".scd": "supercollider", ".js": "javascript", ".ts": "typescript", ".sh": "bash", ".lua": "lua", ".yaml": "yaml", ".yml": "yaml"}
+WEAVE_FENCES = LITERATE_FENCES | {".abc": "abc"}
 
 
 def find(path: str, extractors: tuple[Extractor, ...] = EXTRACTORS) -> Extractor | None:
@@ -66,6 +67,7 @@ def is_freetext(path: Column, extractors: tuple[Extractor, ...] = EXTRACTORS) ->
     return F.coalesce(_case(path, lambda e: F.lit(e.freetext), extractors), F.lit(False))
 
 
-def fence(path: Column) -> Column:
-    ending = F.concat(F.lit("."), F.lower(F.substring_index(path, ".", -1)))
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in FENCES.items() for x in kv])[ending], F.lit(""))
+def fence(path: Column, names: dict[str, str]) -> Column:
+    """The language of a file by the last ending of its name, or an empty text."""
+    ending = F.lower(F.regexp_extract(path, r"[^/.][^/]*(\.[^./]*)$", 1))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[ending], F.lit(""))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgraph import schema
+from textgraph import collect, schema
 from textgraph.functions import paths, text
 from textgraph.operators import bookmark, diff, frontmatter, graph, links, regions, registry, store, weave
 from textgraph.plans import corpus
+from textgraph.sources import discover, tree
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -47,14 +49,20 @@ files, HOME = corpus.files, corpus.HOME
 _LINES = """lines AS (SELECT path, ext, CAST(i AS INT) AS line_no, regexp_replace(parts[i], '\\r$', '') AS line FROM (
  SELECT path, ext, parts, unnest(generate_series(1, len(parts) - CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END)) AS i
  FROM (SELECT path, ext, string_split(content, chr(10)) AS parts FROM files)))"""
-_PARSED = """SELECT path, line_no, place, trim(CASE WHEN instr(inner_, '#') > 0 THEN substr(inner_, 1, instr(inner_, '#') - 1) ELSE inner_ END) AS link,
- nullif(trim(CASE WHEN instr(inner_, '#') > 0 THEN substr(inner_, instr(inner_, '#') + 1) END), '') AS fragment
+_PARSED = """SELECT path, line_no, place, trim(CASE WHEN instr(inner_, '#') > 0 THEN substr(inner_, 1, instr(inner_, '#') - 1) ELSE inner_ END, '  ') AS link,
+ nullif(trim(CASE WHEN instr(inner_, '#') > 0 THEN substr(inner_, instr(inner_, '#') + 1) END, '  '), '') AS fragment
  FROM (SELECT path, line_no, CAST(generate_subscripts(found, 1) AS INT) AS place, unnest(found) AS inner_ FROM (
   SELECT path, line_no, regexp_extract_all(body, '\\[\\[(.*?)\\]\\]', 1) AS found FROM {source}))"""
 _MD = "md AS (" + _PARSED.format(source="(SELECT path, line_no, line AS body FROM lines WHERE ext = '.md')") + ")"
 _COMMENT = "com AS (" + _PARSED.format(source="(SELECT path, line_no, CASE WHEN instr(line, pfx) > 0 THEN substr(line, instr(line, pfx) + length(pfx)) END AS body FROM (SELECT *, CASE ext WHEN '.rs' THEN '//' ELSE '#' END AS pfx FROM lines WHERE ext IN ('.rs', '.py')))") + ")"
-_BLOCK = "blk AS (" + _PARSED.format(source="(SELECT path, line_no, regexp_extract(line, '/\\*(.*?)\\*/', 1) AS body FROM lines WHERE ext = '.rs' AND line LIKE '%/*%*/%')") + ")"
-_LINKS = "links AS (SELECT * FROM md UNION ALL SELECT * FROM com UNION ALL SELECT * FROM blk)"
+_IN_BLOCK = """(SELECT path, line_no, CASE WHEN line_no = b THEN substr(body, 1, instr(body, '*/') - 1) ELSE body END AS body FROM (
+ SELECT path, line_no, b, CASE WHEN line_no = a THEN substr(line, instr(line, '/*') + 2) ELSE line END AS body FROM lines
+ JOIN (SELECT path AS p, min(line_no) FILTER (line LIKE '%/*%') AS a, min(line_no) FILTER (line LIKE '%*/%') AS b FROM lines WHERE ext = '.rs' GROUP BY path) ON p = path AND line_no BETWEEN a AND b))"""
+_BLOCK = "blk AS (" + _PARSED.format(source=_IN_BLOCK) + ")"
+#: Of links of code that follow each other with an equal line, link and fragment, the first.
+_LINKS = """links AS (SELECT * FROM md UNION ALL SELECT path, line_no, place, link, fragment FROM (
+ SELECT *, lag(struct_pack(l := line_no, k := link, f := coalesce('#' || fragment, ''))) OVER (PARTITION BY path ORDER BY line_no, place, link, pass, fragment) AS before FROM (SELECT *, 0 AS pass FROM com UNION ALL SELECT *, 1 FROM blk))
+ WHERE before IS DISTINCT FROM struct_pack(l := line_no, k := link, f := coalesce('#' || fragment, '')))"""
 _EDGES = f"""edges AS (SELECT path AS source, CASE WHEN link LIKE '~/%' THEN '{HOME}' || substr(link, 2) ELSE link END AS target, fragment FROM links WHERE link LIKE '/%' OR link LIKE '~/%')"""
 _KEPT = """kept AS (SELECT DISTINCT source, target, fragment FROM edges WHERE fragment IS NOT NULL UNION ALL SELECT * FROM edges WHERE fragment IS NULL)"""
 _TO_EDGES = [corpus.FILES, _LINES, _MD, _COMMENT, _BLOCK, _LINKS, _EDGES]
@@ -120,6 +128,46 @@ def path_equality(spark, sf_dir):
 # --- links ------------------------------------------------------------------------------------------------------
 
 
+def _relative(spark, sf_dir):
+    """Where the tree lies, and an expression that takes this from a path."""
+    seed = corpus.tree(spark, sf_dir)
+    base = seed.removesuffix("/hub")
+    return seed, lambda c: F.substring(F.col(c), len(base) + 1, 1 << 30)
+
+
+_DEFINITIONS = f"defined AS (SELECT root || '/textgraph.yaml' AS path, root, {corpus.DEFINED} AS content FROM (SELECT DISTINCT root FROM files))"
+_FOUND = "found AS (SELECT path, root, hash, size FROM files WHERE content IS NOT NULL AND NOT (root = '/src0' AND ext = '.jpg') UNION ALL SELECT path, root, sha256(content), CAST(strlen(content) AS BIGINT) FROM defined)"
+
+
+@query(_with([corpus.FILES, _DEFINITIONS, _FOUND], "SELECT path, root, hash, size FROM found"))
+def discovered_files(spark, sf_dir):
+    """The files of a tree on disk, as the data source finds them."""
+    seed, relative = _relative(spark, sf_dir)
+    return tree.read_tree(spark, seed).select(relative("path").alias("path"), relative("root").alias("root"), "hash", "size")
+
+
+@query(_with([corpus.FILES], "SELECT '/hub' AS path, 'hub' AS name, count(DISTINCT root) + 1 AS refs, 'dangling_ref /nowhere' AS warnings FROM files UNION ALL SELECT DISTINCT root, 'root ' || substr(root, 2), 0, NULL FROM files"))
+def discovered_roots(spark, sf_dir):
+    """Roots in the plan, the number of their references, and warnings about them."""
+    seed = corpus.tree(spark, sf_dir)
+    base, plan = seed.removesuffix("/hub"), discover.plan(seed)
+    said = {w["path_a"]: f"{w['kind']} {w['path_b'].removeprefix(base)}" for w in plan.warnings}
+    return spark.createDataFrame([(r.path.removeprefix(base), r.name, len(r.refs), said.get(r.path)) for r in plan.roots], "path string, name string, refs long, warnings string")
+
+
+@query(_with([*_ALL, _KEPT, _DEFINITIONS, _FOUND], """SELECT 'nodes' AS name, count(*) AS n FROM found UNION ALL SELECT 'edges', count(*) FROM kept UNION ALL SELECT 'regions', count(*) FROM regions UNION ALL SELECT 'attributes', count(*) FROM attrs
+ UNION ALL SELECT 'roots', count(DISTINCT root) + 1 FROM files UNION ALL SELECT 'refs', count(DISTINCT root) + 1 FROM files UNION ALL SELECT 'changelog', count(*) FROM found"""))
+def collected_tables(spark, sf_dir):
+    """Rows of each table of a new store, after the tree was collected into it twice."""
+    seed = corpus.tree(spark, sf_dir)
+    path = f"{seed}-store"
+    for now in (1.0, 2.0):
+        collect.collect(spark, seed, path, home=HOME, now=now)
+    t = store.Store(spark, path).tables()
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, df in t.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query(_with([corpus.FILES, _LINES], "SELECT path, line_no, line FROM lines"))
 def file_lines(spark, sf_dir):
     return links.file_lines(files(spark, sf_dir))
@@ -203,12 +251,12 @@ def regions_with_prose(spark, sf_dir):
     return _regions(spark, sf_dir).filter("prose is not null and prose <> ''").select("file", "name", "prose")
 
 
-_BAD = "concat('// @region a\n// @region b\n// @end\n// @end b\n// @region a\n// @end a ', lang)"
+_BAD = "replace(concat('// @region a\n// @region b\n// @end\n// @end b\n// @region a\n// @end a ', lang), '//', CASE ext WHEN '.py' THEN '#' ELSE '//' END)"
 
 
-@query(_with([corpus.FILES], "SELECT path AS file, kind, name, line_no FROM files, (VALUES ('nested', 'b', 2), ('duplicate', 'a', 5)) v(kind, name, line_no) WHERE ext = '.rs'"))
+@query(_with([corpus.FILES], "SELECT path AS file, kind, name, line_no FROM files, (VALUES ('nested', 'b', 2), ('duplicate', 'a', 5)) v(kind, name, line_no) WHERE ext IN ('.rs', '.py')"))
 def region_violations(spark, sf_dir):
-    broken = files(spark, sf_dir).filter("ext = '.rs'").withColumn("content", F.expr(_BAD))
+    broken = files(spark, sf_dir).withColumn("content", F.expr(_BAD))
     return regions.violations(regions.marked_lines(broken))
 
 
@@ -225,6 +273,15 @@ def frontmatter_yaml(spark, sf_dir):
     return frontmatter.yaml_attributes(files(spark, sf_dir))
 
 
+_NESTED = "concat('\n---\ntags: [x, [', lang, ', 1.50], true]\nn: ', doc_id, '\nnone: null\nwords: \"a: ', lang, '\"\n---\nname: no\n')"
+
+
+@query("SELECT '/' || doc_id || '.md' AS file, key, value FROM documents, LATERAL (VALUES ('tags', '[x, [' || lang || ', 1.5], true]'), ('n', CAST(doc_id AS VARCHAR)), ('none', 'null'), ('words', 'a: ' || lang)) v(key, value)")
+def frontmatter_nested(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.expr(_NESTED).alias("content"))
+    return frontmatter.yaml_attributes(docs)
+
+
 @query(_with([corpus.FILES], "SELECT path AS file, 'Doc ' || doc_id AS title, lang FROM files WHERE ext = '.md'"))
 def attrs_wide(spark, sf_dir):
     return frontmatter.wide(frontmatter.flat_attributes(files(spark, sf_dir)), ["title", "lang"])
@@ -437,10 +494,16 @@ def reachable_three_hops(spark, sf_dir):
 
 # --- documents --------------------------------------------------------------------------------------------------
 
-_CODE = """code AS (SELECT file, name, string_agg(regexp_replace(line, '\\s+$', ''), chr(10) ORDER BY line_no) AS code FROM (
+_SLICE = """{name} AS (SELECT file, name, string_agg(regexp_replace(line, '\\s+$', ''), chr(10) ORDER BY line_no) AS code FROM (
  SELECT *, min(CASE WHEN NOT blank THEN line_no END) OVER (PARTITION BY file, name) AS a, max(CASE WHEN NOT blank THEN line_no END) OVER (PARTITION BY file, name) AS b FROM (
  SELECT r.file, r.name, l.line_no, l.line, regexp_matches(l.line, '^\\s*$') AS blank FROM regions r JOIN lines l ON l.path = r.file AND l.line_no BETWEEN r.start_line AND r.end_line
- WHERE NOT regexp_matches(l.line, '^ *[%#/]*\\s*@(region|end)\\s') AND NOT regexp_matches(l.line, '^\\s*(//|#)\\|'))) WHERE line_no BETWEEN a AND b GROUP BY file, name)"""
+ WHERE NOT regexp_matches(trim(l.line), '{mark}') AND NOT regexp_matches(l.line, '^\\s*(//|#)\\|'))) WHERE line_no BETWEEN a AND b GROUP BY file, name)"""
+_CODE = _SLICE.format(name="code", mark="^[%#/]*\\s*@(region|end)\\s")
+_LOOSE = _SLICE.format(name="loose", mark="@(region|end) ")
+_LANGUAGE = "CASE WHEN {0} LIKE '%.rs' THEN 'rust' WHEN {0} LIKE '%.py' THEN 'python' ELSE '' END"
+#: What follows the first root that begins a path; else its last three components.
+_SHORT = """short AS (SELECT path, coalesce((SELECT arg_min(ltrim(substr(n.path, length(r.path) + 1), '/'), r.path) FROM roots r WHERE starts_with(n.path, r.path)),
+ CASE WHEN len(string_split(path, '/')) > 3 THEN '…/' || array_to_string(string_split(path, '/')[-3:], '/') ELSE path END) AS short FROM (SELECT file AS path FROM regions UNION SELECT target FROM edges) n)"""
 
 
 @query(_with([*_TO_REGIONS, _CODE], "SELECT * FROM code"))
@@ -449,54 +512,99 @@ def region_code(spark, sf_dir):
     return weave.region_code(regions.regions(regions.marked_lines(f)), links.file_lines(f))
 
 
-@query(_with([*_TO_REGIONS, _CODE], "SELECT * FROM code"))
+@query(_with([*_TO_REGIONS, _LOOSE], "SELECT * FROM loose"))
 def region_code_loose(spark, sf_dir):
     f = files(spark, sf_dir)
     return weave.region_code(regions.regions(regions.marked_lines(f)), links.file_lines(f), loose=True)
 
 
-@query(_with([*_ALL, _CODE], """SELECT p.file, '# ' || string_split(p.file, '/')[-1] || chr(10) || chr(10) || coalesce('Connects to:' || chr(10) || l.links || chr(10) || chr(10), '') || p.body AS document FROM (
- SELECT r.file, string_agg('## ' || r.name || chr(10) || chr(10) || coalesce(r.prose || chr(10) || chr(10), '') || '```' || CASE WHEN r.file LIKE '%.rs' THEN 'rust' ELSE 'python' END || chr(10) || coalesce(c.code, '') || chr(10) || '```', chr(10) || chr(10) ORDER BY r.start_line) AS body
- FROM regions r LEFT JOIN code c ON c.file = r.file AND c.name = r.name GROUP BY r.file) p
- LEFT JOIN (SELECT source, string_agg('- ' || target, chr(10) ORDER BY target) AS links FROM (SELECT DISTINCT source, target FROM edges) GROUP BY source) l ON l.source = p.file"""))
+def _root_paths(spark, sf_dir) -> list[str]:
+    return [r["path"] for r in corpus.roots(spark, sf_dir).orderBy("path").collect()]  # listed by hand
+
+
+@query(_with([*_ALL, _LOOSE, _SHORT], f"""SELECT p.file, '# ' || s.short || chr(10) || chr(10) || coalesce('*Connects to:* ' || l.links || chr(10) || chr(10), '') || '---' || chr(10) || chr(10) || p.body AS document FROM (
+ SELECT r.file, string_agg('## ' || r.name || chr(10) || chr(10) || coalesce(r.prose || chr(10) || chr(10), '') || coalesce('```' || {_LANGUAGE.format('r.file')} || chr(10) || c.code || chr(10) || '```' || chr(10) || chr(10), ''), '' ORDER BY r.start_line) AS body
+ FROM regions r LEFT JOIN loose c ON c.file = r.file AND c.name = r.name GROUP BY r.file) p JOIN short s ON s.path = p.file
+ LEFT JOIN (SELECT e.source, string_agg('`' || t.short || coalesce('#' || e.fragment, '') || '`', ', ' ORDER BY e.target, e.fragment NULLS FIRST) AS links FROM edges e JOIN short t ON t.path = e.target GROUP BY e.source) l ON l.source = p.file"""))
 def literate_document(spark, sf_dir):
     f = files(spark, sf_dir)
     r = regions.regions(regions.marked_lines(f))
-    return weave.literate(r, weave.region_code(r, links.file_lines(f)), _edges(spark, sf_dir))
+    return weave.literate(r, weave.region_code(r, links.file_lines(f), loose=True), _edges(spark, sf_dir), _root_paths(spark, sf_dir))
+
+
+_INCLUDED = "included AS (SELECT path, coalesce(string_agg(CASE WHEN NOT regexp_matches(trim(line), '^[%#/]*\\s*@(region|end)\\s') THEN regexp_replace(line, '\\s+$', '') END, chr(10) ORDER BY line_no), '') AS code FROM lines GROUP BY path)"
+_INDEX = """idx AS (SELECT '| File | Region | Lines | Prose |' || chr(10) || '|------|--------|-------|-------|' || coalesce(chr(10) || string_agg('| `' || CASE WHEN file LIKE '%/src/%' THEN string_split(file, '/src/')[-1] ELSE string_split(file, '/')[-1] END || '` | `' || name || '` | ' || start_line || '–' || end_line || ' | ' || CASE WHEN length(prose) > 0 THEN length(prose) || ' ch' ELSE '—' END || ' |', chr(10) ORDER BY file, start_line), '') AS text FROM regions)"""
+_FIRST = "one AS (SELECT r.name, r.file, r.prose, c.code FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file) AS n FROM regions) r LEFT JOIN code c ON c.file = r.file AND c.name = r.name WHERE r.n = 1)"
+_TEMPLATE = "# Title\n{{stats}}\n  {{prose:alpha}}\n{{code:body}}\n```\n  {{code:tail}}\n  {{file:nope}}\n```\n{{region:nope}}\n{{prose}}\n{{odd:x}}\nkeep {{stats}} here\n {{region:alpha}}\n{{index}}\n{{file:/src1/1.rs}}\n{{file:/none}}\n{{file}}\n"
+
+
+def _of(kind: str, name: str) -> str:
+    return f"(SELECT {kind} FROM one WHERE name = '{name}')"
+
 
+def _in_fence(name: str) -> str:
+    return f"(SELECT '```' || {_LANGUAGE.format('file')} || chr(10) || code || chr(10) || '```' FROM one WHERE name = '{name}')"
 
-_TEMPLATE = "# Title\n{{stats}}\n  {{prose:body}}\n{{code:body}}\n```\n{{code:tail}}\n```\n{{region:nope}}\n{{prose}}\n{{odd:x}}"
 
+_WOVEN = " || chr(10) || ".join(
+    [
+        "'# Title'",
+        "(SELECT '**' || (SELECT count(*) FROM files) || '** files · **' || (SELECT count(*) FROM edges) || '** edges · **' || count(*) || '** regions · **' || count(prose) || '** with prose' FROM regions)",
+        f"'  ' || replace({_of('prose', 'alpha')} || chr(10), chr(10), chr(10) || '  ')",
+        _in_fence("body"),
+        "'```'",
+        f"'  ' || replace({_of('code', 'tail')}, chr(10), chr(10) || '  ')",
+        "'  % [region not found: nope]'",
+        "'```'",
+        "'*[region not found: nope]*'",
+        "'*[missing region name in {{prose}}]*'",
+        "'*[unknown directive: odd:x]*'",
+        "'keep {{stats}} here'",
+        f"' ' || replace({_of('prose', 'alpha')} || chr(10) || chr(10) || {_in_fence('alpha')}, chr(10), chr(10) || ' ')",
+        "(SELECT text FROM idx)",
+        "(SELECT code FROM included WHERE path = '/src1/1.rs')",
+        "'*[file not found: /none]*'",
+        "'*[missing path in {{file:}}]*'",
+        "''",
+    ]
+)
 
-@query()
+
+@query(_with([*_ALL, _CODE, _INCLUDED, _INDEX, _FIRST], f"SELECT 'doc' AS path, {_WOVEN} AS document"))
 def weave_expand(spark, sf_dir):
     f = files(spark, sf_dir)
     lines, r = links.file_lines(f), regions.regions(regions.marked_lines(f))
     t = spark.createDataFrame([("doc", _TEMPLATE)], "path string, content string")
-    return weave.expand(links.file_lines(t), lines, r, graph.weave_stats(f, _edges(spark, sf_dir), r))
+    return weave.expand(weave.template_lines(t), lines, r, graph.weave_stats(f, _edges(spark, sf_dir), r))
 
 
-@query(_with([corpus.FILES, _LINES], """SELECT path, string_agg(regexp_replace(line, '\\s+$', ''), chr(10) ORDER BY line_no) AS code FROM (SELECT *, min(CASE WHEN NOT blank THEN line_no END) OVER (PARTITION BY path) AS a, max(CASE WHEN NOT blank THEN line_no END) OVER (PARTITION BY path) AS b
- FROM (SELECT path, line_no, line, regexp_matches(line, '^\\s*$') AS blank FROM lines WHERE ext = '.rs' AND NOT regexp_matches(line, '^ *[%#/]*\\s*@(region|end)\\s'))) WHERE line_no BETWEEN a AND b GROUP BY path"""))
+@query(_with([corpus.FILES, _LINES, _INCLUDED], "SELECT path, code FROM included"))
 def file_include(spark, sf_dir):
-    return weave.file_include(links.file_lines(files(spark, sf_dir).filter("ext = '.rs'")))
+    return weave.file_include(links.file_lines(files(spark, sf_dir)))
 
 
-@query(_with([corpus.FILES, _LINES], "SELECT path, line_no, CASE WHEN regexp_matches(line, '^\\s*-{3,}\\s*$') THEN 'hr' WHEN regexp_matches(line, '^\\s*$') THEN 'blank' ELSE 'para' END AS block FROM lines WHERE ext = '.md' AND line_no <= 4"))
-def markdown_blocks(spark, sf_dir):
-    return weave.blocks(links.file_lines(files(spark, sf_dir).filter("ext = '.md'"))).filter("line_no <= 4")
+_TEMPLATE_LINES = "tl AS (SELECT path, CAST(i AS INT) AS line_no, parts[i] AS line, regexp_replace(parts[i], '^\\s+|\\s+$', '', 'g') AS bare FROM (SELECT path, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT path, string_split(content, chr(10)) AS parts FROM files WHERE ext = '.md')))"
+_KINDS = r"""kinds AS (SELECT *, CASE WHEN fence AND open THEN 'code' WHEN fence THEN 'close' WHEN open THEN 'inside' WHEN bare = '' THEN 'blank' WHEN bare IN ('---', '***', '___') THEN 'hr' WHEN bare LIKE '# %' THEN 'h1' WHEN bare LIKE '## %' THEN 'h2'
+ WHEN bare LIKE '### %' THEN 'h3' WHEN regexp_matches(bare, '^\{\{\w+(:[^}]+)?\}\}$') THEN 'directive' ELSE 'para' END AS kind
+ FROM (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) % 2 = 1 AS open FROM (SELECT *, starts_with(bare, '```') AS fence FROM tl)))"""
+_BLOCKS = r"""numbered AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS block_no FROM (
+ SELECT *, kind NOT IN ('blank', 'close') AND NOT (kind = 'inside' OR kind = 'para' AND NOT starts_with(bare, '#') AND coalesce(lag(kind) OVER w = 'para' AND NOT starts_with(lag(bare) OVER w, '#'), false)) AS starts FROM kinds WINDOW w AS (PARTITION BY path ORDER BY line_no)))"""
 
 
-@query(_with([corpus.FILES, _LINES], r"""SELECT path, line_no, CASE WHEN fence OR fences % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^\s*(-{3,}|\*{3,}|_{3,})\s*$') THEN 'hr' WHEN line LIKE '### %' THEN 'h3' WHEN line LIKE '## %' THEN 'h2'
- WHEN line LIKE '# %' THEN 'h1' WHEN regexp_matches(line, '^(\s*)\{\{(\w+)(:([^}]+))?\}\}\s*$') THEN 'directive' WHEN regexp_matches(line, '^\s*$') THEN 'blank' ELSE 'para' END AS block
- FROM (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS fences FROM (SELECT *, starts_with(ltrim(line), '```') AS fence FROM lines WHERE ext = '.md'))"""))
-def markdown_blocks_whole(spark, sf_dir):
-    return weave.blocks(links.file_lines(files(spark, sf_dir).filter("ext = '.md'")))
+@query(_with([corpus.FILES, _TEMPLATE_LINES, _KINDS, _BLOCKS], r"""SELECT path, CAST(block_no AS INT) AS block_no, min(line_no) AS line_no, arg_min(kind, line_no) AS block,
+ CASE arg_min(kind, line_no) WHEN 'code' THEN trim(substr(arg_min(bare, line_no), 4)) WHEN 'directive' THEN regexp_extract(arg_min(bare, line_no), '\w+') END AS label,
+ CASE arg_min(kind, line_no) WHEN 'code' THEN coalesce(string_agg(CASE WHEN kind = 'inside' THEN line END, chr(10) ORDER BY line_no), '') WHEN 'para' THEN string_agg(bare, ' ' ORDER BY line_no)
+  WHEN 'directive' THEN nullif(regexp_extract(arg_min(bare, line_no), ':([^}]+)', 1), '') WHEN 'hr' THEN NULL ELSE trim(regexp_replace(arg_min(bare, line_no), '^#+ ', '')) END AS text
+ FROM numbered WHERE kind NOT IN ('blank', 'close') GROUP BY path, block_no"""))
+def markdown_blocks(spark, sf_dir):
+    return weave.blocks(weave.template_lines(files(spark, sf_dir).filter("ext = '.md'")))
 
 
-@query("SELECT item_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS markup FROM benchmark")
+@query("""SELECT item_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '`([^`]+)`', '<font face="Courier" size="9">\\1</font>', 'g'), '\\*\\*([^*]+)\\*\\*', '<b>\\1</b>', 'g'), '\\*([^*]+)\\*', '<i>\\1</i>', 'g') AS markup
+ FROM (SELECT item_id, replace(replace('`a` **b** *c* & ' || text, ' the ', ' *the* '), '.', '** **x**<') AS text FROM benchmark)""")
 def inline_markup(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").select("item_id", weave.inline_markup(F.col("text")).alias("markup"))
+    marked = F.replace(F.replace(F.concat(F.lit("`a` **b** *c* & "), "text"), F.lit(" the "), F.lit(" *the* ")), F.lit("."), F.lit("** **x**<"))
+    return _table(spark, sf_dir, "benchmark").select("item_id", weave.inline_markup(marked).alias("markup"))
 
 
 # --- pages and bookmarks ----------------------------------------------------------------------------------------
@@ -527,11 +635,19 @@ def tags_yaml(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", bookmark.tags_yaml(bookmark.tags(F.col("p_name"))).alias("tags"))
 
 
-@query("SELECT page_id, '---' || chr(10) || 'title: \"Page ' || page_id || '\"' || chr(10) || 'url: \"' || url || '\"' || chr(10) || 'date: \"2023-11-14T22:13:20+00:00\"' || chr(10) || 'tags: [\"page\", \"web\"]' || chr(10) || '---' || chr(10) || chr(10) || 'body' || chr(10) AS document, '2023/11/14' AS folder FROM pages")
+_PAGE_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("SELECT page_id, '---' || chr(10) || 'title: \"Page ' || page_id || '\"' || chr(10) || 'url: \"' || url || '\"' || chr(10) || 'date: \"2023-11-14T22:13:20+00:00\"' || chr(10) || 'tags: [\"page\", \"web\"]' || chr(10) || '---' || chr(10) || chr(10) || " + _PAGE_TEXT + " || chr(10) AS document, '2023/11/14' AS folder FROM pages")
 def bookmark_document(spark, sf_dir):
     when = F.lit(1700000000)
     title, found = F.concat(F.lit("Page "), F.col("page_id").cast("string")), F.array(F.lit("page"), F.lit("web"))
-    return _table(spark, sf_dir, "pages").select("page_id", bookmark.document(title, F.col("url"), when, found, F.lit("body")).alias("document"), bookmark.date_path(when).alias("folder"))
+    return _table(spark, sf_dir, "pages").select("page_id", bookmark.document(title, F.col("url"), when, found, bookmark.page_text(F.col("html"))).alias("document"), bookmark.date_path(when).alias("folder"))
+
+
+@query(f"SELECT page_id, {_PAGE_TEXT} AS text FROM pages")
+def page_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", bookmark.page_text(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
@@ -539,9 +655,11 @@ def page_titles(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", bookmark.page_title(F.col("html")).alias("title"))
 
 
-@query("SELECT n_name AS title, 'tag' || (n_nationkey % 5) AS first_tag FROM nation")
+@query("SELECT n_name AS title, 'tag' || (n_nationkey % 5) || ',two words,Name,last' AS tags FROM nation")
 def tag_lookup(spark, sf_dir):
     n = _table(spark, sf_dir, "nation")
-    feeds = n.select(F.col("n_name").alias("title"), F.concat(F.lit("http://feed/"), F.col("n_name"), F.lit("/rss")).alias("url"))
-    urls = n.select(F.col("n_nationkey").alias("line_no"), F.concat(F.lit("http://feed/"), F.col("n_name"), F.lit("/rss \"tag"), (F.col("n_nationkey") % 5).cast("string"), F.lit('" ~"Name" !hidden #note')).alias("line"))
-    return bookmark.tag_lookup(feeds.select("title"), feeds, urls).select("title", F.element_at("tags", 1).alias("first_tag"))
+    url = F.concat(F.lit("http://feed/"), F.col("n_name"), F.lit("/rss"))
+    feeds = n.select(F.col("n_name").alias("title"), url.alias("url"))
+    tail = F.concat(F.lit('"tag'), (F.col("n_nationkey") % 5).cast("string"), F.lit('"  "two words" ~"Name" !hidden\t#note "~no" last "open'))
+    urls = n.select(F.col("n_nationkey").alias("line_no"), F.concat(url, F.lit(" "), tail).alias("line"))
+    return bookmark.tag_lookup(feeds.select("title"), feeds, urls).select("title", F.array_join("tags", ",").alias("tags"))

@@ -12,8 +12,12 @@ from textgraph.operators import diff, store
 
 
 def merge_batch(db: store.Store, files: DataFrame, home: str, timestamp: float) -> None:
-    """Upserts files (path, content, modified, root); files that aren't in the batch stay.  A repeated batch changes nothing."""
-    rows = files.dropDuplicates(["path"]).withColumn("hash", F.sha2(F.col("content").cast("binary"), 256)).withColumn("size", F.octet_length("content").cast("long")).persist()
+    """Upserts files (path, content, modified, root); files that aren't in the batch stay.  A repeated batch changes nothing.
+
+    Of a file that a batch has more than once the newest holds, of equally new ones the greatest content.
+    """
+    newest = files.groupBy("path").agg(F.max(F.struct("modified", "content", "root")).alias("f")).select("path", "f.*")
+    rows = newest.withColumn("hash", F.sha2(F.col("content").cast("binary"), 256)).withColumn("size", F.octet_length("content").cast("long")).persist()
     tables = db.tables()
     status = diff.snapshot_diff(tables["nodes"].join(rows.select("path"), "path", "left_semi"), rows)
     work = rows.join(diff.work_set(status), "path", "left_semi")
@@ -23,8 +27,8 @@ def merge_batch(db: store.Store, files: DataFrame, home: str, timestamp: float)
     new["edges"] = store.insert_edges(new["edges"], found["edges"])
     for n in ("regions", "attributes"):
         new[n] = store.upsert(new[n], found[n].select(*schema.columns(n)), schema.KEYS[n])
-    new["changelog"] = tables["changelog"].unionByName(store.changes(status, timestamp))
-    db.commit(new)
+    new.pop("changelog")
+    db.commit(new, {"changelog": store.changes(status, timestamp)})
     rows.unpersist()
 
 
