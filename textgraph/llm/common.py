@@ -52,14 +52,14 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_limits(spark: SparkSession) -> None:
+def arrow_limits(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bounds on Arrow batches; and joins of texts with few wanted ids may drop other texts before the shuffle.
 
     (Spark's own runtime Bloom filter, which it uses only while its size is bounded.)
     """
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def _release() -> None:
