@@ -28,7 +28,7 @@ LIST_ROWS, MAX_LISTS = 256, 16_384
 #: Lists of a vector at most, and the distance (of the nearest) up to which a list takes it.
 REPLICAS, REPLICA_RATIO = 4, 1.12
 #: Recall that the search ratio is chosen for, on sampled queries against the sample.
-AIM, AIM_QUERIES = 0.96, 256
+AIM, AIM_QUERIES = 0.94, 256
 NEIGHBOURS = 24
 #: Rows of a posting block; queries that meet a block in one task, about.
 BLOCK, QUERY_SHARE = 4096, 1 << 16
