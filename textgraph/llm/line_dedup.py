@@ -261,10 +261,12 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = saved(document_pairs(docs, min_words, folder), f"{folder}/pairs").filter("first < doc")
     remove(spark, *(f"{folder}/{x}" for x in ("marks", "shared", "stretches")))
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = saved(_aligned(pairs, rows, min_words), f"{folder}/spans")
+    wanted = pairs.select(F.explode(F.array("doc", "first")).alias("doc_id")).distinct()
+    few = rows.join(wanted, "doc_id", "left_semi").withColumn("of", F.xxhash64("text")).dropDuplicates(["doc_id", "of"])
+    few = saved(few.select("doc_id", "of", "text"), f"{folder}/texts")  # texts of no pair are shuffled by no other step
+    found = saved(_aligned(pairs, few, min_words), f"{folder}/spans")
     spans = found.groupBy("doc_id", "of").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("source")).alias("sources"))
-    whole = rows.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("of", F.xxhash64("text")).dropDuplicates(["doc_id", "of"])
-    cut = whole.join(spans, ["doc_id", "of"]).select("doc_id", "of", "sources", "spans", "text")
+    cut = few.join(spans, ["doc_id", "of"]).select("doc_id", "of", "sources", "spans", "text")
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,9 +286,11 @@ _SPANS = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("source", pa.in
 GROUP_PAIRS = 4096
 
 
-def _aligned(pairs: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
+def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
     """doc_id, of, source, spans: what the alignment of each pair (doc, first) finds in the later document.
 
+    texts: doc_id, of, text of all documents of pairs, each once.
+
     Of each pair, the document that is in more pairs is sent once, to the tasks of its pairs, and the other to it.  So a
     passage that many documents share doesn't copy its first document for each, nor a compilation itself for each source.
     """
@@ -296,27 +300,21 @@ def _aligned(pairs: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
     by_first = F.col("n") >= F.col("m")
     met = pairs.join(in_first, "first").join(in_doc, "doc")
     met = met.select(F.when(by_first, F.col("first")).otherwise(F.col("doc")).alias("own"), F.when(by_first, F.col("doc")).otherwise(F.col("first")).alias("other"), F.ceil(F.greatest("n", "m") / GROUP_PAIRS).cast("int").alias("parts"))
-    texts = rows.withColumn("of", F.xxhash64("text")).select("doc_id", "of", "text")
-    owners = met.select("own", "parts").distinct()
-    once = texts.join(owners.select(F.col("own").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "of"])
-    held = once.join(owners.withColumnRenamed("own", "doc_id"), "doc_id").select(F.col("doc_id").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("other"), "of", "text")
-    sent = texts.join(met.select("own", "parts", F.col("other").alias("doc_id")), "doc_id").select("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), F.col("doc_id").alias("other"), "of", "text")
+    owners = met.groupBy(F.col("own").alias("doc_id")).agg(F.max("parts").alias("parts"))
+    held = texts.join(owners, "doc_id").select(F.col("doc_id").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("other"), "of", "text")
+    sent = texts.join(met.join(owners.select(F.col("doc_id").alias("own"), F.col("parts").alias("all")), "own").select("own", F.col("all").alias("parts"), F.col("other").alias("doc_id")), "doc_id").select("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), F.col("doc_id").alias("other"), "of", "text")
     both = held.unionByName(sent).repartition(shuffle_parts(spark), "own", "part").sortWithinPartitions("own", "part", F.col("other").asc_nulls_first(), "of")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, mine, last = None, [], None
+        key, mine = None, []
         for batch in batches:
             out = []
             for own, part, other, of, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (own, part) != key:
-                    key, mine, last = (own, part), [], None
+                    key, mine = (own, part), []
                 if other is None:
-                    if all(of != x for x, _ in mine):
-                        mine.append((of, Lines([text])))
-                    continue
-                if (other, of) == last:  # a repeated row
+                    mine.append((of, Lines([text])))
                     continue
-                last = (other, of)
                 lines = Lines([text])
                 for own_of, own_lines in mine:
                     (doc, doc_of, later), (first, _, earlier) = sorted(((own, own_of, own_lines), (other, of, lines)), key=lambda x: -x[0])
