@@ -1,5 +1,7 @@
 """Vector searches against brute force."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -126,3 +128,35 @@ def test_graph_walk_finds_nearest_centroids():
     ids, d = index.walk(q, 32)
     true = np.argsort(spann.squared(q, c), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b[:10])) / 10 for a, b in zip(true, ids)]) > 0.95
+
+
+def test_a_search_holds_little_however_many_lists_queries_read():
+    """Queries that read every list: results are exact, and memory is that of a group, not of all queries and lists."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16))
+    c = rng.normal(size=(2000, 17))
+    index = spann.Index(c, spann.neighbour_graph(c), float(np.linalg.norm(x, axis=1).max()), ratio=1e6)
+    of = np.sort(rng.integers(0, 2000, 6000))
+    first = np.searchsorted(of, np.arange(2001))
+    blocks = spann.Blocks(np.arange(2001), ["a"], np.zeros(2000, int), first[:-1], np.diff(first))
+    queries = x[:1500]
+    tracemalloc.start()
+    q, ids, score = spann.search_group(index, blocks, queries, 5, 6, lambda path, at, n: (np.arange(at, at + n), x[at : at + n].astype(np.float32)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # a row for each query and list would be 3 million vectors
+    close = x.astype(np.float32).astype(np.float64)
+    want = np.argsort(-(queries @ close.T), axis=1)[:, :6]
+    assert (ids.reshape(1500, 6) == want).all() and (q == np.repeat(np.arange(1500), 6)).all()
+    assert np.allclose(score, (queries[q] * close[ids]).sum(1))
+
+
+def test_groups_of_few_queries(spark, monkeypatch):
+    monkeypatch.setattr(spann, "GROUP", 7)
+    monkeypatch.setattr(spann, "LEAST_GROUP", 3)
+    data = rows(400, 6, 4)
+    vectors = {i: v for i, v in good(data, 6).items() if v.any()}
+    got = [tuple(r) for r in spann.nearest(frame(spark, data), F.col("vec_id") % 3 == 0, 10).collect()]
+    want = brute(vectors, 3, 10)
+    pairs = {(a, c) for a, _, c, _ in want}
+    assert len(got) == len(want) and len({(a, c) for a, _, c, _ in got} & pairs) >= 0.9 * len(pairs)
