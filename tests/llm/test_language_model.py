@@ -89,6 +89,19 @@ def test_pairs_and_skips_are_learnt(spark):
     assert gain > 0.6 * math.log10(60 / 2)
 
 
+@pytest.mark.parametrize("held", [40, 0])
+def test_pairs_beyond_those_that_tasks_hold_count(spark, monkeypatch, held):
+    """Scores are the same wherever the weights of pairs lie; repeated rows, null and empty texts included."""
+    rows = corpus()[::3] + [(None, "bannn ban"), (10, "ban ban"), (10, "ban ban"), (401, ""), (402, None)]
+    want, few = [], []
+    for out in (want, few):
+        out += sorted(tuple(r)[2:] for r in lm_query(frame(spark, rows)).collect())
+        monkeypatch.setattr(maxent_lm, "PAIRS", held)
+    assert len(want) == len(few) == len(rows)
+    for a, b in zip(want, few):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-5)
+
+
 def test_probabilities_sum_to_one():
     """Over all words of all classes, and one unknown word a class, after any history."""
     rng = np.random.default_rng(4)

@@ -11,7 +11,7 @@ of frequent words and the company (of anchors, the most frequent words) that eac
 of each ending; all are summed as whole numbers.  Frequent words are grouped by their company; other words have the
 class next to that of their ending.  Class weights are learnt in synchronous rounds: tasks sum gradients over their share of the round's
 documents with the same weights, and each round moves the weights once.  Pair weights are learnt by gradient steps on
-the pairs' counts, spread by the first word.  So scores don't depend on how the documents are dealt to tasks.  Counts lie in
+the pairs' counts, spread by the first word, for every pair of frequent words that was seen twice.  So scores don't depend on how the documents are dealt to tasks.  Counts lie in
 hash-ordered shards in the shared folder, of which a scoring task keeps a bounded number.
 """
 
@@ -34,7 +34,8 @@ FREQUENT, ANCHORS, ENDINGS = 16_384, 24, 1 << 16
 #: A document's shares of anchors are counted in parts of this size, so sums don't depend on their order.
 UNIT = 1 << 10
 CLASSES = 24
-#: Rows of the weight table of hashed features; pairs of frequent words with a weight, at most (the most frequent ones).
+#: Rows of the weight table of hashed features; weights of pairs that every task holds (those of the most frequent pairs;
+#: where there are more, the others' are joined to the documents that have these pairs).
 ROWS, PAIRS = 1 << 15, 1 << 21
 #: Documents are dealt to so many rounds of gradient steps by a hash; how far a round moves, and the least weight of evidence.
 ROUNDS, RATE, FAITH = 6, 0.45, 4.0
@@ -47,6 +48,8 @@ SHARD_WORDS, KEPT_SHARDS = 1 << 20, 24
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 ALPHA = 0.1
 LOG10_E = float(np.log10(np.e))
+#: Parts of a pair's weight that sums of weights are counted in.
+FINE = 1 << 32
 #: Histories of classes: each of the last three is a class, the end, or nothing.
 _C = CLASSES + 2
 COMBINATIONS = _C**3
@@ -262,13 +265,26 @@ class Pairs:
         if len(self.keys) and len(some):
             key = first[some] << _KEY | second[some]
             at = np.minimum(np.searchsorted(self.keys, key.astype(np.int32)), len(self.keys) - 1)
-            out[some] = np.where(self.keys[at] == key, self.weights[at], 0) - np.log1p(self.change[first[some], cls[some]])
+            out[some] = np.where(self.keys[at] == key, self.weights[at], 0)
+        out[some] -= np.log1p(self.change[first[some], cls[some]])
         return out
 
+    def others(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and keys of the pairs of frequent words that aren't held here."""
+        some = np.flatnonzero((first < FREQUENT) & (second < FREQUENT))
+        key = (first[some] << _KEY | second[some]).astype(np.int32)
+        if len(self.keys):
+            other = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] != key
+            some, key = some[other], key[other]
+        return some, key
 
-def learn_pairs(pairs: DataFrame, classes: Classes, count_of: np.ndarray, in_class: np.ndarray) -> Pairs:
+
+def learn_pairs(pairs: DataFrame, classes: Classes, count_of: np.ndarray, in_class: np.ndarray, folder: str) -> tuple[Pairs, DataFrame | None]:
     """From counts of pairs (key, n); count_of: those of the frequent words; in_class: the sum of each class.
 
+    Returns the weights of the PAIRS most frequent pairs with the changes that all pairs make, and the weights of all
+    other pairs as a table (key, x), or None if there are no others.
+
     The pairs of a first word and a class are learnt together.  Their objective is n log P(second | class, first) with a normal prior on weights;
     each step is the gradient over a bound of its curvature, for all pairs of a task's first words at once.
     """
@@ -289,16 +305,16 @@ def learn_pairs(pairs: DataFrame, classes: Classes, count_of: np.ndarray, in_cla
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
         if not held:
             return
-        key, n, able = (np.concatenate(x) for x in zip(*held))
+        key, n, often = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(key)
-        key, n, able = key[order], n[order].astype(np.float64), able[order]
+        key, n, often = key[order], n[order].astype(np.float64), often[order]
         first, second = key >> _KEY, key & _N
         frequent = second < FREQUENT
         of = np.where(frequent, classes.of_word[np.where(frequent, second, 0)], classes.of_ending[np.where(frequent, 0, second - FREQUENT)])
         group = first.astype(np.int64) * (CLASSES + 1) + of
         names, inv = np.unique(group, return_inverse=True)
         total = np.bincount(inv, n)
-        chosen = np.flatnonzero(frequent & able)
+        chosen = np.flatnonzero(frequent & (n > 1))
         at, seen, word = inv[chosen], n[chosen], second[chosen]
         base = np.exp(own[word] - sums[of[chosen]])  # the word's share of its class
         theta = np.zeros(len(chosen))
@@ -309,18 +325,30 @@ def learn_pairs(pairs: DataFrame, classes: Classes, count_of: np.ndarray, in_cla
             theta += (seen - mean - PAIR_PRIOR * theta) / (np.maximum(mean, np.minimum(seen, 2 * mean + 1)) + PAIR_PRIOR)
             np.clip(theta, -12, 12, out=theta)
             change = np.bincount(at, base * np.expm1(theta), len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(key[chosen].astype(np.int32)), pa.array(theta.astype(np.float32)), pa.array(np.zeros(len(chosen), bool))], names=["key", "x", "group"])
+        yield _weight_rows(key[chosen], theta, np.where(often[chosen], _HELD, _OTHER))
         used = np.flatnonzero(np.bincount(at, minlength=len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names[used].astype(np.int32)), pa.array(change[used].astype(np.float32)), pa.array(np.ones(len(used), bool))], names=["key", "x", "group"])
-
-    spread = pairs.repartition(shuffle_parts(spark), F.shiftright("key", _KEY)).select("key", "n", ((F.col("n") > 1) & (level >= least)).alias("able"))
-    got = spread.mapInArrow(lean(learn), "key int, x float, group boolean").toArrow()  # PAIRS + FREQUENT x CLASSES rows at most
-    key, x, is_group = (got.column(i).to_numpy() for i in range(3))
+        yield _weight_rows(names[used], change[used], np.full(len(used), _CHANGE))
+
+    spread = pairs.repartition(shuffle_parts(spark), F.shiftright("key", _KEY)).select("key", "n", (level >= least).alias("often"))
+    learnt = spread.mapInArrow(lean(learn), "key int, x float, kind int")
+    if least:
+        learnt = saved(learnt, f"{folder}/pair-weights")
+    got = learnt.filter(F.col("kind") != _OTHER).toArrow()  # PAIRS + FREQUENT x CLASSES rows at most
+    key, x, kind = (got.column(i).to_numpy() for i in range(3))
     change = np.zeros(FREQUENT * (CLASSES + 1), np.float32)
-    change[key[is_group]] = x[is_group]
-    key, x = key[~is_group], x[~is_group]
+    change[key[kind == _CHANGE]] = x[kind == _CHANGE]
+    key, x = key[kind == _HELD], x[kind == _HELD]
     order = np.argsort(key)
-    return Pairs(key[order], x[order], change.reshape(FREQUENT, CLASSES + 1))
+    held = Pairs(key[order], x[order], change.reshape(FREQUENT, CLASSES + 1))
+    return held, learnt.filter(F.col("kind") == _OTHER).select("key", "x") if least else None
+
+
+#: What a row of weights is: a pair's that all tasks hold, the change of a first word and a class, another pair's.
+_HELD, _CHANGE, _OTHER = 0, 1, 2
+
+
+def _weight_rows(key: np.ndarray, x: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(x.astype(np.float32)), pa.array(kind.astype(np.int32))], names=["key", "x", "kind"])
 
 
 def feature_rows(tokens: np.ndarray, cls: np.ndarray, doc: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -565,7 +593,8 @@ def language_model_scores(docs: DataFrame, is_training: F.Column) -> DataFrame:
     in_class = np.array([per_class[k]["n"] + ALPHA * (per_class[k]["v"] + 1) if k in per_class else ALPHA for k in range(CLASSES + 1)])
     bits = write_shards(vocabulary, f"{folder}/shards", words)
     shards = f"{folder}/shards"
-    pair_weights = learn_pairs(pairs, classes, often[by_name], in_class)
+    pair_weights, others = learn_pairs(pairs, classes, often[by_name], in_class, folder)
+    is_whole = others is None
     shared = spark.sparkContext.broadcast((classes, train_weights(train, classes, tokens), pair_weights, in_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -583,15 +612,28 @@ def language_model_scores(docs: DataFrame, is_training: F.Column) -> DataFrame:
             before = _back(number, t.doc, 1, FREQUENT)
             inner = np.flatnonzero(cls < CLASSES)
             own[inner] += pair_weights.log_share(before[inner], np.where(number < FREQUENT, number, _N)[inner], cls[inner]) * LOG10_E
+            more = []
+            if not is_whole:
+                at, keys = pair_weights.others(before[inner], number[inner])
+                ends = np.searchsorted(t.doc[inner][at], np.arange(batch.num_rows + 1)).astype(np.int32)
+                more = [batch.column(3), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
             for part, combination, rows in feature_rows(t.tokens, cls, t.doc):
                 p = weights.probabilities(combination, rows)
                 own[part] += np.log10(np.maximum(p[np.arange(len(p)), cls[part]], 1e-30))
             known = np.add.reduceat((c > 0)[inv].astype(np.int64), t.begin)
-            cols = [batch.column(0), batch.column(1), pa.array(t.sizes.astype(np.int64)), pa.array(known), pa.array(np.full(batch.num_rows, total, np.int64)), pa.array(np.add.reduceat(base, t.begin)), pa.array(np.add.reduceat(own, t.begin))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            cols = [batch.column(0), batch.column(1), pa.array(t.sizes.astype(np.int64)), pa.array(known), pa.array(np.full(batch.num_rows, total, np.int64)), pa.array(np.add.reduceat(base, t.begin)), pa.array(np.add.reduceat(own, t.begin)), *more]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "row", "keys"][: len(cols)])
 
     rows = docs.select("doc_id", (~is_training).alias("held_out"), "text")
-    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if is_whole:
+        return rows.mapInArrow(lean(run), result)
+    # pairs that tasks don't hold: their weights are joined; whole numbers, so sums don't depend on their order
+    scored = saved(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(run), f"{result}, row long, keys array<int>"), f"{folder}/scored")
+    weight = others.select("key", F.round(F.col("x").cast("double") * F.lit(float(FINE))).cast("long").alias("w"))
+    sums = scored.select("row", F.explode("keys").alias("key")).join(weight, "key").groupBy("row").agg(F.sum("w").alias("w"))
+    score = F.col("score") + F.coalesce("w", F.lit(0)) * F.lit(LOG10_E / FINE)
+    return scored.drop("keys").join(sums, "row", "left").select(*[score.alias("score") if c == "score" else F.col(c) for c in scored.columns if c not in ("row", "keys")])
 
 
 def lm_query(docs: DataFrame) -> DataFrame:
