@@ -2,7 +2,10 @@
 
 import random
 
-from textgraph.llm.line_dedup import Lines, dedup_lines, line_dedup_digest, patience, shared_blocks, shared_passages, without
+import numpy as np
+
+from textgraph.llm import line_dedup
+from textgraph.llm.line_dedup import Lines, dedup_lines, likely, line_dedup_digest, patience, shared_blocks, shared_passages, without
 
 random.seed(6)
 WORDS = [f"{a}{b}" for a in "bcdfghklm" for b in ("a", "en", "or", "ist", "ule")]
@@ -124,3 +127,33 @@ def test_every_stretch_of_min_words_is_cut(spark):
             want[i] = [x for q, x in enumerate(w) if q not in gone]
     got = {r["doc_id"]: (r["text"].split(), r["removed_words"]) for r in shared_passages(frame(spark, rows), 20).collect()}
     assert len(want) > 20 and got == {i: (left, len(words[i]) - len(left)) for i, left in want.items()}
+
+
+def test_filters_hold_all_their_values(spark):
+    values = [random.randrange(-(1 << 63), 1 << 63) for _ in range(3000)] + [-1, 0, 1]
+    found = likely(spark.createDataFrame([(x,) for x in values], "x long"))
+    assert found.may_hold(np.array(values, np.int64).view(np.uint64)).all()
+    assert found.may_hold(np.arange(1000, 21000, dtype=np.uint64)).mean() < 0.05
+    assert not likely(spark.createDataFrame([], "x long")).may_hold(np.arange(9, dtype=np.uint64)).any()
+
+
+def test_full_filters_change_nothing(spark, monkeypatch):
+    """A filter that lets everything pass costs time only."""
+    rows, _, _ = corpus()
+    want = sorted(tuple(r) for r in line_dedup_digest(frame(spark, rows)).collect() if r["doc_id"] is not None)
+    monkeypatch.setattr(line_dedup.Likely, "may_hold", lambda self, x: np.ones(len(x), bool))
+    assert sorted(tuple(r) for r in line_dedup_digest(frame(spark, rows)).collect() if r["doc_id"] is not None) == want
+
+
+def test_texts_are_shuffled_for_no_lookup(spark, tmp_path):
+    """Whichever documents have a shared mark or a pair is found without a join of all texts."""
+    rows, _, _ = corpus()
+    seen = []
+    keep = line_dedup.saved
+    line_dedup.saved = lambda df, path: seen.append((path.rsplit("/", 1)[1], df._jdf.queryExecution().executedPlan().toString())) or keep(df, path)
+    try:
+        shared_passages(frame(spark, rows)).count()
+    finally:
+        line_dedup.saved = keep
+    plans = dict(seen)
+    assert "Join" not in plans["stretches"] and "Join" not in plans["texts"]

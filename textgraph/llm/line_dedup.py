@@ -227,25 +227,69 @@ def document_pairs(docs: DataFrame, min_words: int, folder: str) -> DataFrame:
         for batch in batches:
             w = Words(batch.column(1).to_pylist())
             doc, at, x = window_marks(w, min_words)
-            wanted = batch.column(2)
-            of = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
-            asked = _pair_hashes(of, wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            hit = np.isin(_pair_hashes(doc, x), asked)
+            hit = crowded.value.may_hold(x)
             yield _hash_rows(batch.column(0), *_distinct(doc[hit], _spans(w.hashes, min_words)[at[hit]]))
 
     held = saved(rows.mapInArrow(lean(marks), "h long, doc long"), f"{folder}/marks")
     shared = held.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last")
     shared = saved(shared, f"{folder}/shared")
     two = shared.filter("n = 2").select(F.col("last").alias("doc"), "first").distinct()
-    crowded = held.join(shared.filter("n > 2").select("h"), "h").groupBy("doc").agg(F.collect_set("h").alias("marks"))
-    wanted = saved(rows.join(crowded, "doc").mapInArrow(lean(stretches), "h long, doc long"), f"{folder}/stretches")
+    # a mark that the filter lets pass by chance adds stretches, of which those of one document go below
+    crowded = docs.sparkSession.sparkContext.broadcast(likely(shared.filter("n > 2").select("h")))
+    wanted = saved(rows.mapInArrow(lean(stretches), "h long, doc long"), f"{folder}/stretches")
     firsts = wanted.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "first")
     more = wanted.join(firsts, "h").filter("first < doc").select("doc", "first").distinct()
     return two.unionByName(more).distinct()
 
 
-def _pair_hashes(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return mix64(x ^ mix64(doc.astype(np.uint64) + _ODD[0]))
+#: Bits of a filter, at most (16 MB), bits for each of its values if there is room, and tasks that make it.
+FILTER_BITS, BITS_EACH, FILTER_PARTS = 1 << 27, 12, 16
+
+
+class Likely:
+    """A Bloom filter of 64-bit integers: holds all its values, and a few others by chance (the more, the fuller it is)."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.mask = np.uint64(8 * len(bits) - 1)
+
+    @staticmethod
+    def places(x: np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
+        h = mix64(x.astype(np.uint64) ^ _ODD[7])
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        for i in range(4):
+            yield ((h + np.uint64(i) * step) & mask).astype(np.int64)
+
+    def may_hold(self, x: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), bool)
+        for at in self.places(x, self.mask):
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def likely(values: DataFrame) -> Likely:
+    """The filter of a table of one column of longs, made by FILTER_PARTS tasks; the driver gets it whole (see FILTER_BITS)."""
+    size = min(FILTER_BITS, max(1 << 12, 1 << int(values.count() * BITS_EACH).bit_length()))
+    share = size // FILTER_PARTS
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate(list(Likely.places(x, np.uint64(size - 1)))))
+            yield pa.RecordBatch.from_arrays([pa.array((at // share).astype(np.int32)), pa.array((at % share).astype(np.int32))], names=["part", "at"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, at = (c.to_numpy() for c in batch.columns)
+            for i in np.unique(part).tolist():
+                mine = bits.setdefault(i, np.zeros(share // 8, np.uint8))
+                np.bitwise_or.at(mine, at[part == i] >> 3, np.uint8(1) << (at[part == i] & 7).astype(np.uint8))
+        for i, mine in bits.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([mine.tobytes()], pa.binary())], names=["part", "bits"])
+
+    found = {r["part"]: r["bits"] for r in values.mapInArrow(spread, "part int, at int").repartition(FILTER_PARTS, "part").mapInArrow(gather, "part int, bits binary").collect()}
+    return Likely(np.concatenate([np.frombuffer(found.get(i, bytes(share // 8)), np.uint8) for i in range(FILTER_PARTS)]))
 
 
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -261,9 +305,15 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = saved(document_pairs(docs, min_words, folder), f"{folder}/pairs").filter("first < doc")
     remove(spark, *(f"{folder}/{x}" for x in ("marks", "shared", "stretches")))
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = pairs.select(F.explode(F.array("doc", "first")).alias("doc_id")).distinct()
-    few = rows.join(wanted, "doc_id", "left_semi").withColumn("of", F.xxhash64("text")).dropDuplicates(["doc_id", "of"])
-    few = saved(few.select("doc_id", "of", "text"), f"{folder}/texts")  # texts of no pair are shuffled by no other step
+    paired = spark.sparkContext.broadcast(likely(pairs.select(F.explode(F.array("doc", "first")).alias("doc_id")).distinct()))
+
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(paired.value.may_hold(batch.column(0).to_numpy().view(np.uint64))))
+
+    # texts of no pair (but a few that the filter lets pass) are shuffled by no step
+    some = rows.mapInArrow(lean(of_pairs), "doc_id long, text string").withColumn("of", F.xxhash64("text"))
+    few = saved(some.dropDuplicates(["doc_id", "of"]).select("doc_id", "of", "text"), f"{folder}/texts")
     found = saved(_aligned(pairs, few, min_words), f"{folder}/spans")
     spans = found.groupBy("doc_id", "of").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("source")).alias("sources"))
     cut = few.join(spans, ["doc_id", "of"]).select("doc_id", "of", "sources", "spans", "text")
