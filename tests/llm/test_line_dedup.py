@@ -157,3 +157,34 @@ def test_texts_are_shuffled_for_no_lookup(spark, tmp_path):
         line_dedup.saved = keep
     plans = dict(seen)
     assert "Join" not in plans["stretches"] and "Join" not in plans["texts"]
+
+
+def exchanges_of_texts(df):
+    """How many exchanges of a plan carry texts."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        names = [node.output().apply(i).name() for i in range(node.output().size())]
+        found += node.nodeName() == "Exchange" and "text" in names
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_texts_are_shuffled_once_for_each_join(spark, monkeypatch):
+    """Texts of pairs go to their ids and on to their tasks, those that lose words to their ids again; rows that are repeated count once."""
+    rows, _, lines = corpus()
+    rows += [(31, rows[21][1]), (70, "other words of " + lines), (70, lines + " and more"), (70, "other words of " + lines)]
+    rows = [x for x in rows if x[0] is not None]
+    seen, keep, least = {}, line_dedup.saved, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(line_dedup, "saved", lambda df, path: seen.update({path.rsplit("/", 1)[1]: exchanges_of_texts(df)}) or keep(df, path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = [(r["doc_id"], r["text"], list(r["sources"])) for r in shared_passages(frame(spark, rows)).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert (seen["texts"], seen["spans"], seen["cut"]) == (0, 2, 1)
+    assert sorted(x[0] for x in cut) == [31, 32, 41, 60, 70, 70] and {x[1] for x in cut if x[0] == 70} == {"other words of", "and more"}
+    assert all(30 in sources for i, _, sources in cut if i in (31, 32, 70))

@@ -305,31 +305,44 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = saved(document_pairs(docs, min_words, folder), f"{folder}/pairs").filter("first < doc")
     remove(spark, *(f"{folder}/{x}" for x in ("marks", "shared", "stretches")))
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    paired = spark.sparkContext.broadcast(likely(pairs.select(F.explode(F.array("doc", "first")).alias("doc_id")).distinct()))
-
-    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(paired.value.may_hold(batch.column(0).to_numpy().view(np.uint64))))
-
     # texts of no pair (but a few that the filter lets pass) are shuffled by no step
-    some = rows.mapInArrow(lean(of_pairs), "doc_id long, text string").withColumn("of", F.xxhash64("text"))
-    few = saved(some.dropDuplicates(["doc_id", "of"]).select("doc_id", "of", "text"), f"{folder}/texts")
-    found = saved(_aligned(pairs, few, min_words), f"{folder}/spans")
-    spans = found.groupBy("doc_id", "of").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("source")).alias("sources"))
-    cut = few.join(spans, ["doc_id", "of"]).select("doc_id", "of", "sources", "spans", "text")
+    some = _of_ids(rows, pairs.select(F.explode(F.array("doc", "first")).alias("doc_id"))).withColumn("of", F.xxhash64("text"))
+    few = saved(some.select("doc_id", "of", "text"), f"{folder}/texts")
+    found = saved(_aligned(pairs, _once(few), min_words), f"{folder}/spans")
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("of", "source", "spans")).alias("found"))
+    cut = _once(_of_ids(few, found.select("doc_id"))).join(spans, "doc_id").select("doc_id", "of", "found", "text")
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                gone = merged([(x["a"], x["b"]) for x in row["spans"]])
-                out.append({"doc_id": row["doc_id"], "of": row["of"], "removed_words": sum(b - a for a, b in gone), "sources": row["sources"], "text": without(row["text"], gone)})
+                mine = [x for x in row["found"] if x["of"] == row["of"]]
+                if mine:
+                    gone = merged([(y["a"], y["b"]) for x in mine for y in x["spans"]])
+                    out.append({"doc_id": row["doc_id"], "of": row["of"], "removed_words": sum(b - a for a, b in gone), "sources": sorted({x["source"] for x in mine}), "text": without(row["text"], gone)})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_CUT)
 
     return saved(cut.mapInArrow(lean(delete), "doc_id long, of long, removed_words long, sources array<long>, text string"), f"{folder}/cut")
 
 
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is one of ids (a column doc_id), and a few others; nothing is shuffled for it."""
+    wanted = rows.sparkSession.sparkContext.broadcast(likely(ids.distinct()))
+    at = rows.columns.index("doc_id")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.may_hold(batch.column(at).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(lean(pick), rows.schema)
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """Each doc_id, of and text once, dealt by doc_id: a join by doc_id alone shuffles no text again."""
+    return texts.repartition(shuffle_parts(texts.sparkSession), "doc_id").dropDuplicates(["doc_id", "of"])
+
+
 _CUT = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("removed_words", pa.int64()), ("sources", pa.list_(pa.int64())), ("text", pa.string())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("source", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 #: Pairs of a document that one task aligns, about.
@@ -339,7 +352,8 @@ GROUP_PAIRS = 4096
 def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
     """doc_id, of, source, spans: what the alignment of each pair (doc, first) finds in the later document.
 
-    texts: doc_id, of, text of all documents of pairs, each once.
+    texts: doc_id, of, text of all documents of pairs, each once, dealt by doc_id.  They are joined once, with the tasks
+    that each is wanted in, and then shuffled to these.
 
     Of each pair, the document that is in more pairs is sent once, to the tasks of its pairs, and the other to it.  So a
     passage that many documents share doesn't copy its first document for each, nor a compilation itself for each source.
@@ -350,10 +364,12 @@ def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
     by_first = F.col("n") >= F.col("m")
     met = pairs.join(in_first, "first").join(in_doc, "doc")
     met = met.select(F.when(by_first, F.col("first")).otherwise(F.col("doc")).alias("own"), F.when(by_first, F.col("doc")).otherwise(F.col("first")).alias("other"), F.ceil(F.greatest("n", "m") / GROUP_PAIRS).cast("int").alias("parts"))
-    owners = met.groupBy(F.col("own").alias("doc_id")).agg(F.max("parts").alias("parts"))
-    held = texts.join(owners, "doc_id").select(F.col("doc_id").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("other"), "of", "text")
-    sent = texts.join(met.join(owners.select(F.col("doc_id").alias("own"), F.col("parts").alias("all")), "own").select("own", F.col("all").alias("parts"), F.col("other").alias("doc_id")), "doc_id").select("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), F.col("doc_id").alias("other"), "of", "text")
-    both = held.unionByName(sent).repartition(shuffle_parts(spark), "own", "part").sortWithinPartitions("own", "part", F.col("other").asc_nulls_first(), "of")
+    owners = met.groupBy("own").agg(F.max("parts").alias("parts"))
+    held = owners.select(F.col("own").alias("doc_id"), "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("other"))
+    # at most one owner for GROUP_PAIRS pairs has more than one task
+    many = F.broadcast(owners.filter("parts > 1").select("own", F.col("parts").alias("all")))
+    sent = met.join(many, "own", "left").select(F.col("other").alias("doc_id"), "own", F.pmod(F.xxhash64("other"), F.coalesce("all", F.lit(1))).cast("int").alias("part"), "other")
+    both = texts.join(held.unionByName(sent), "doc_id").select("own", "part", "other", "of", "text").repartition(shuffle_parts(spark), "own", "part").sortWithinPartitions("own", "part", F.col("other").asc_nulls_first(), "of")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, mine = None, []
