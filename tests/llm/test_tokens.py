@@ -74,6 +74,15 @@ def test_coder_learns(spark):
     assert b < len(second) * 2.5 / 8  # noise of two bits an id
 
 
+def test_blocks_start_anew_seldom(spark):
+    """What a block learns lasts for 2^17 ids; bits below an id's length are learnt as well without other orders."""
+    ids = (np.random.default_rng(5).zipf(1.3, (1 << 17) + 1) % 50000).astype(np.uint32)
+    one, two = (bytes(r["blocks"]) for r in through(spark, [ids[:-1], ids]).collect())
+    assert int.from_bytes(one[:4], "little") == 1 and int.from_bytes(two[:4], "little") == 2
+    _, n = np.unique(ids, return_counts=True)
+    assert 8 * len(one) < 1.1 * -(n * np.log2(n / len(ids))).sum()
+
+
 def test_coder_refuses_what_it_cannot_hold(spark):
     with pytest.raises(Exception, match="20 bits at most"):
         through(spark, [np.array([1 << 20], np.uint32)]).collect()

@@ -22,7 +22,7 @@ from textgraph.llm import files, jvm
 from textgraph.llm.common import arrow_limits, lean, saved, shuffle_parts, work_dir
 from textgraph.llm.wordmemo import encoder
 
-MAGIC = b"TGIDS2\n"
+MAGIC = b"TGIDS3\n"
 #: Ids of a segment, about (a longer document is a segment of its own), and bytes of a file, about.
 SEGMENT_IDS, FILE_BYTES = 1 << 20, 1 << 28
 
